@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import op01_bpe, op05_warc, op06_url_filter, op09_language, op10_quality
+from . import op01_bpe, op04_fingerprint, op05_warc, op06_url_filter, op08_mixing, op09_language, op10_quality
 
 QUERIES = {
     "op1_bpe": op01_bpe.op1_bpe,
+    "op4_fingerprint": op04_fingerprint.op4_fingerprint,
     "op5_warc": op05_warc.op5_warc,
     "op6_url_filter": op06_url_filter.op6_url_filter,
+    "op8_mixing": op08_mixing.op8_mixing,
     "op9_language": op09_language.op9_language,
     "op10_quality": op10_quality.op10_quality,
 }
