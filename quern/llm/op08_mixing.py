@@ -8,7 +8,7 @@ on with the next. So a source's expected words and documents are met but for the
 Groups are blocks of about BLOCK documents of one source, so a source of any share of the rows is worked on by many
 tasks. A block decides its longest documents first and leaves its OPEN shortest to the next level, with the two that
 the flight left open, and so on until one block a source is left; its last documents are the landing problem, settled
-by the rounding that is nearest in words and documents.
+by the rounding that is nearest in words and documents, in the best of TRIALS draws of this last, small block.
 Draws are seeded by source, level and block, and blocks are hashes of doc_id: reruns agree.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .op04_fingerprint import words_of
 
-BLOCK, OPEN = 1000, 10
+BLOCK, OPEN, TRIALS = 1000, 10, 12
 SOURCES = 100_000
 SHARE, MOST = 1.5, 2.0
 WEIGHTS = [5.0, 2.0, 1.0]
@@ -131,13 +131,19 @@ def _flier(level: int, last: bool):
     def fly(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         seed = int.from_bytes(hashlib.sha256(f"{key[0]}|{level}|{key[1]}".encode()).digest()[:8], "big")
         pdf = pdf.sort_values(["doc_id", "size"], kind="stable").reset_index(drop=True)
-        rng = random.Random(seed)
         p, size = pdf["p"].tolist(), pdf["size"].tolist()
-        order = sorted(range(len(pdf)), key=lambda i: (-size[i], rng.random()))
-        cut_at = max(0, len(order) - OPEN)
-        out = flight([p[i] for i in order[:cut_at]], [size[i] for i in order[:cut_at]], rng) + [p[i] for i in order[cut_at:]]
-        if last:
-            out = land(out, [size[i] for i in order])
+        best = None
+        for trial in range(TRIALS if last else 1):
+            rng = random.Random(seed + trial)
+            order = sorted(range(len(pdf)), key=lambda i: (-size[i], rng.random()))
+            cut_at, sizes = max(0, len(order) - OPEN), [size[i] for i in order]
+            out = flight([p[i] for i in order[:cut_at]], sizes[:cut_at], rng) + [p[i] for i in order[cut_at:]]
+            if last:
+                out = land(out, sizes)
+            error = abs(sum(x * n for x, n in zip(out, sizes, strict=True)) - sum(x * n for x, n in zip(p, size, strict=True)))
+            if best is None or error < best[0]:
+                best = error, order, out
+        _, order, out = best
         back = [0.0] * len(order)
         for i, x in zip(order, out, strict=True):
             back[i] = x
