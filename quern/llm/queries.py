@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op01_bpe, op04_fingerprint, op05_warc, op06_url_filter, op08_mixing, op09_language, op10_quality
+from . import op01_bpe, op02_line_dedup, op04_fingerprint, op05_warc, op06_url_filter, op08_mixing, op09_language, op10_quality
 
 QUERIES = {
     "op1_bpe": op01_bpe.op1_bpe,
+    "op2_line_dedup": op02_line_dedup.op2_line_dedup,
     "op4_fingerprint": op04_fingerprint.op4_fingerprint,
     "op5_warc": op05_warc.op5_warc,
     "op6_url_filter": op06_url_filter.op6_url_filter,
@@ -14,4 +15,4 @@ QUERIES = {
     "op10_quality": op10_quality.op10_quality,
 }
 
-ORACLE_SQL = {"op6_url_filter": op06_url_filter.ORACLE_SQL}
+ORACLE_SQL = {"op2_line_dedup": op02_line_dedup.ORACLE_SQL, "op6_url_filter": op06_url_filter.ORACLE_SQL}
