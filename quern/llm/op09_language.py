@@ -135,24 +135,25 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -
     return Model(np.frombuffer(b"".join(v for _, v in pairs), np.float32).reshape(len(pairs), DIMS), [lang for lang, _ in pairs])
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs without their text, with lang_pred and score; columns of these names are replaced.
+def identify(docs: DataFrame, model: Model | None, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs with lang_pred and score, and with their text only if keep_text; columns of these names are replaced.
 
     A null text, one without a letter and any text under a model of None is 'und' with score 0.
     """
-    kept = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
-    source = docs.select(*kept, F.col(text).alias("__text"))
+    others = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
+    source = docs.select(*others, text)
+    kept = source.columns if keep_text else others
 
     def task(batches):
         letters = letter_table()
         for batch in batches:
             out = []
-            for cell in batch.column(len(kept)):
+            for cell in batch.column(len(others)):
                 t = cell.as_py()
                 out.append(model.predict(features(t, letters)) if t and model and _LETTER.search(t) else ("und", 0.0))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [*kept, "lang_pred", "score"])
 
-    return source.mapInArrow(task, source.drop("__text").schema.add("lang_pred", "string").add("score", "double"))
+    return source.mapInArrow(task, source.select(*kept).schema.add("lang_pred", "string").add("score", "double"))
 
 
 def held_out(doc_id: Column) -> Column:

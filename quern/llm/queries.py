@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op01_bpe, op02_line_dedup, op04_fingerprint, op05_warc, op06_url_filter, op08_mixing, op09_language, op10_quality
+from . import op01_bpe, op02_line_dedup, op03_minhash, op04_fingerprint, op05_warc, op06_url_filter, op08_mixing, op09_language, op10_quality
 
 QUERIES = {
     "op1_bpe": op01_bpe.op1_bpe,
     "op2_line_dedup": op02_line_dedup.op2_line_dedup,
+    "op3_minhash": op03_minhash.op3_minhash,
     "op4_fingerprint": op04_fingerprint.op4_fingerprint,
     "op5_warc": op05_warc.op5_warc,
     "op6_url_filter": op06_url_filter.op6_url_filter,
