@@ -2,7 +2,7 @@
 
 A commit writes a segment for each model and then one manifest row that names them all; readers see the segments that
 manifest rows name, so what no row names does not exist. The manifest is a Parquet folder itself; a commit appends one
-file to it, which is the commit point. One writer at a time is the contract, as for the reference's stores.
+file to it, which is the commit point. One writer at a time is the contract.
 """
 
 from __future__ import annotations

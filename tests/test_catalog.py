@@ -1,0 +1,85 @@
+import pytest
+
+from quern.plans.catalog import SchemaError
+from quern.plans.declare import read_schema
+from quern.plans.migrate import diff
+
+BASE = """
+struct Point { x: f64
+ y: f64 }
+enum Status { Draft, Published, Archived }
+Post {
+  id: +uuid
+  title: &string @length(1, 200)   // unique
+  views: ^u32
+  rating: f64?
+  status: ^Status
+  at: Point?
+  code: char(8)
+  axis: [f64; 3]
+  meta: json
+  author: *Author @on_delete(cascade)
+  editor: ?Author @on_delete(set_null)
+  tags: [Tag]
+  @index(status, views)
+  @projection(card: title, status)
+}
+Author { id: +uuid
+  name: ^string @pattern("^[a-z\\"]+$")
+  posts: [Post]
+}
+Tag { id: +uuid
+  posts: [Post]
+  name: string
+}
+"""
+
+
+def test_types_and_flags():
+    c = read_schema(BASE)
+    assert c.schema("Post").simpleString() == "struct<id:string,title:string,views:bigint,rating:double,status:string,at:struct<x:double,y:double>,code:string,axis:array<double>,meta:string,author:string,editor:string>"
+    post = c.models["Post"]
+    assert post["views"].ranged and not post["rating"].ranged and not post["title"].ranged
+    assert post["author"].probed and post["title"].unique and post["id"].auto
+    assert post.projected("card") == ["id", "title", "status"]
+    assert post.indexes == (("status", "views"),)
+    assert c.models["Author"]["name"].constraints == (("pattern", ('^[a-z"]+$',)),)
+
+
+def test_relations():
+    kinds = {(r.kind, r.left, r.field, r.right) for r in read_schema(BASE).relations()}
+    assert kinds == {("required", "Post", "author", "Author"), ("optional", "Post", "editor", "Author"), ("many_to_many", "Post", "tags", "Tag")}
+
+
+@pytest.mark.parametrize(
+    "text, said",
+    [
+        ("A { id: +uuid }\nA { id: +uuid }", "duplicate"),
+        ("A { id: +uuid\n id: u32 }", "duplicate"),
+        ("A { id: +string }", "not for string"),
+        ("A { id: +uuid\n b: *B }", "no model B"),
+        ("A { id: +uuid\n b: Missing }", "no struct or enum"),
+        ("a { id: +uuid }", "PascalCase"),
+        ("A { id: +uuid\n Bad: u32 }", "snake_case"),
+        ("A { id: +uuid\n @index(id, nope) }", "unknown field"),
+        ("A { id: +uuid\n @projection(p: nope) }", "unknown field"),
+        ("A { id: +uuid\n a: *A\n @projection(p: a) }", "not projectable"),
+        ("struct S { s: string }", "fixed size"),
+        ("enum E { X, X }", "duplicate"),
+        ("A { id: +uuid\n a: *A @on_delete(set_null) }", "optional relation"),
+        ("A { id: +uuid\n b: [B] }", "no model B"),
+        ("what is this", "not understood"),
+    ],
+)
+def test_broken_schemas(text, said):
+    with pytest.raises(SchemaError, match=said):
+        read_schema(text)
+
+
+def test_diff():
+    old = read_schema("A { id: +uuid\n a: u32\n b: string\n c: f64 }")
+    new = read_schema("A { id: +uuid\n x: u32\n b: string?\n c: &i64 }\nB { id: +uuid }")
+    found = {(c.kind, c.model, c.name, c.to) for c in diff(old, new)}
+    assert found == {("add_model", "B", "", ""), ("rename_field", "A", "a", "x"), ("make_nullable", "A", "b", ""), ("change_type", "A", "c", ""), ("add_unique", "A", "c", "")}
+    grown = diff(read_schema("enum E { A }\nM { id: +uuid }"), read_schema("enum E { A, B }\nM { id: +uuid }"))
+    assert [(c.kind, c.breaking) for c in grown] == [("change_enum", False)]
