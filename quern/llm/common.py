@@ -43,7 +43,9 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str], values: list[str],
     """
     least = max(total // HOT_SHARE, 1)
     hot = table.filter(F.col(weight) > least).select(*keys, *[F.col(v).alias(f"_hot_{v}") for v in values], F.lit(True).alias("_hot"))
-    cold = table.filter(F.col(weight) <= least).select(*keys, F.lit(0).alias("_salt"), *[F.col(v).alias(f"_cold_{v}") for v in values])
+    # 0 for each row, in a form that isn't folded: a literal would drop out of the join's keys and leave hot rows together
+    zero = F.least(F.col(weight), F.lit(0)).cast("int")
+    cold = table.filter(F.col(weight) <= least).select(*keys, zero.alias("_salt"), *[F.col(v).alias(f"_cold_{v}") for v in values])
     spread = F.when(F.col("_hot"), -1 - F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(1 << 20))).otherwise(0).cast("int")
     joined = df.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread).join(cold, [*keys, "_salt"], "left")
     return joined.select(*df.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{v}")).otherwise(F.col(f"_cold_{v}")).alias(v) for v in values])
