@@ -15,11 +15,13 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,14 +64,16 @@ class WordBpe:
         self.formed = {s: (-1, "", "") for c in alphabet for s in (c, c + self.suffix)}
         for i, (a, b) in enumerate(pairs):
             self.formed.setdefault(a + b, (i, a, b))
-        #: the last two characters (and suffix) of a prefix -> the most characters that a token with this end has
-        self.reach: dict[str, int] = {}
+        #: tokens spelled backwards, as nested tables by character, "" marking one's end; those with the suffix apart
+        self.backwards: tuple[dict, dict] = ({}, {})
         for token in self.formed:
             bare = token.removesuffix(self.suffix)
-            end = bare[-2:] + token[len(bare) :]
-            self.reach[end] = max(self.reach.get(end, 1), len(bare))
+            node = self.backwards[len(bare) < len(token)]
+            for c in reversed(bare):
+                node = node.setdefault(c, {})
+            node[""] = token
         self.keeps: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {s: (i,) for s, i in self.special.items()}
+        self.forget()
         self.pattern = regex.compile(next(x["pattern"]["Regex"] for x in config["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -97,39 +101,60 @@ class WordBpe:
             else:
                 return True
 
+    def forget(self) -> None:
+        """An empty table of words: word -> its number, and all words' ids end to end."""
+        self.words = {s: k for k, s in enumerate(self.special)}
+        self.flat, self.ends = array("i", self.special.values()), array("q", range(len(self.special) + 1))
+
     def encode_words(self, words: Iterable[str]) -> None:
-        """Put the ids of distinct words into self.words, in one depth-first walk of their byte-level spellings."""
-        path, last = "", [("", 0)]  # last[d]: last token of path[:d], and its length in symbols
+        """Add distinct words to the table, in one depth-first walk of their byte-level spellings.
+
+        tokens[d] and befores[d] are the last token of the path's first d symbols and where it begins.
+        """
+        ids, flat, ends, number = self.ids, self.flat, self.ends, len(self.words)
+        path, tokens, befores = "", [""], [0]
         for word, raw in sorted((w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.bytes), w) for w in words):
-            shared, most = 0, min(len(path), len(word) - 1)
+            n = len(word)
+            shared, most = 0, min(len(path), n - 1)
             while shared < most and path[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :]
-            for d in range(shared + 1, len(word)):
-                last.append(self.last_token(word, d, "", last))
+            del tokens[shared + 1 :], befores[shared + 1 :]
+            for d in range(shared + 1, n):
+                token, d = self.last_token(word, d, 0, tokens)
+                tokens.append(token)
+                befores.append(d)
             path = word[:-1]
-            token, n = self.last_token(word, len(word), self.suffix, last)
-            out, d = [self.ids[token]], len(word) - n
+            token, d = self.last_token(word, n, 1, tokens)
+            out = [ids[token]]
             while d:
-                token, n = last[d]
-                out.append(self.ids[token])
-                d -= n
-            self.words[raw] = tuple(reversed(out))
-
-    def last_token(self, word: str, d: int, suffix: str, last: list) -> tuple[str, int]:
-        """The last token of word[:d] + suffix: the one that what stands before it leaves alone."""
-        formed, keeps = self.formed, self.keeps
-        reach = self.reach.get(word[d - 2 : d] + suffix, 1) if d > 1 else 1
-        for n in range(min(d, reach), 0, -1):
-            token = word[d - n : d] + suffix
-            if token in formed:
-                if n == d:
-                    return token, n
-                before = last[d - n][0]
-                if (stay := keeps.get((before, token))) is None:
-                    stay = self.keep(before, token)
-                if stay:
-                    return token, n
+                out.append(ids[tokens[d]])
+                d = befores[d]
+            out.reverse()
+            flat.extend(out)
+            ends.append(len(flat))
+            self.words[raw] = number
+            number += 1
+
+    def last_token(self, word: str, d: int, marked: int, tokens: list[str]) -> tuple[str, int]:
+        """The last token of word[:d], with the suffix if marked, and where it begins: the one that what stands before leaves alone."""
+        node, found, at = self.backwards[marked], [], d
+        while at:
+            node = node.get(word[at - 1])
+            if node is None:
+                break
+            at -= 1
+            if "" in node:
+                found.append((node[""], at))
+        keeps = self.keeps
+        for token, at in reversed(found):
+            if not at:
+                return token, 0
+            before = tokens[at]
+            stay = keeps.get((before, token))
+            if stay is None:
+                stay = self.keep(before, token)
+            if stay:
+                return token, at
         raise AssertionError(f"no token ends {word[:d]!r}")
 
     def pretokens(self, text: str) -> list[str]:
@@ -138,16 +163,25 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text)
         return self.pattern.findall(text.replace("\u03a3", "\u03c3").lower())
 
-    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        """ids of each text; each distinct word is worked out once."""
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text's begin and end. Each distinct word is worked out once."""
         pieces = [self._pieces(t or "") for t in texts]
         new = set(chain.from_iterable(pieces)).difference(self.words)
         if len(self.words) + len(new) > CACHE:
-            self.words = {s: (i,) for s, i in self.special.items()}
+            self.forget()
             new = set(chain.from_iterable(pieces)).difference(self.words)
         self.encode_words(new)
-        get = self.words.__getitem__
-        return [np.array(list(chain.from_iterable(map(get, p))), np.int32) for p in pieces]
+        counts = np.array([len(p) for p in pieces], np.int64)
+        number = np.fromiter(map(self.words.__getitem__, chain.from_iterable(pieces)), np.int64, int(counts.sum()))
+        flat, ends = np.frombuffer(self.flat, np.int32).copy(), np.frombuffer(self.ends, np.int64).copy()
+        begin, n = ends[number], ends[number + 1] - ends[number]
+        after = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(begin - after[:-1], n) + np.arange(after[-1])]
+        return ids, after[np.concatenate([[0], np.cumsum(counts)])]
+
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        ids, ends = self.encode_flat(texts)
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def _pieces(self, text: str) -> list[str]:
         """Words and special tokens. A special token is no lower-case word, so the two can share a table."""
@@ -190,9 +224,8 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
         bpe = WordBpe(config.value)
         for whole in batches:
             for batch in _parts(whole, len(kept)):
-                rows = bpe.encode_batch(batch.column(len(kept)).to_pylist())
-                ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)])))], [*kept, ids])
+                flat, ends = bpe.encode_flat(batch.column(len(kept)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], [*kept, ids])
 
     return source.mapInArrow(task, source.drop("__text").schema.add(ids, T.ArrayType(T.IntegerType())))
 
@@ -203,11 +236,16 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", text: str = "de
     source = encoded.select(*kept, ids)
 
     def task(batches):
-        get = token_table(config.value).get
+        table = token_table(config.value)
+        names = pa.array([table.get(i) for i in range(max(table) + 1)], pa.string())
         for batch in batches:
             column = batch.column(len(kept))
-            out = [" ".join([t for t in map(get, x.values.to_pylist()) if t is not None]) if x.is_valid else "" for x in column]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out, pa.string())], [*kept, text])
+            known = pc.if_else(pc.and_(pc.greater_equal(column.flatten(), 0), pc.less(column.flatten(), len(names))), column.flatten(), None)
+            tokens, ends = names.take(known), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).cumsum()
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), tokens)
+            if tokens.null_count:
+                lists = pa.array([[t for t in x if t is not None] for x in lists.to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pc.binary_join(lists, " ")], [*kept, text])
 
     return source.mapInArrow(task, source.drop(ids).schema.add(text, "string"))
 

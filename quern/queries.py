@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from .functions.predicates import loose, loose_equals
 from .operators import relations, views, writes
 from .operators.access import Table
+from .plans import migrate
 from .plans.catalog import Catalog
 from .plans.declare import read_schema
+from .sources import segments
 from .streaming import feed
 
 SCHEMA = """
@@ -336,12 +338,95 @@ def pitr_replay(spark, sf_dir):
     return feed.replay(log, tail, ["id"], 3000, CUT).select("id", "value")
 
 
+def _plain_feed(log: DataFrame) -> DataFrame:
+    """The log as a replication feed: an event for each version."""
+    return log.select((F.col("_seq") + 1).alias("offset"), F.when(F.col("_deleted"), "deleted").otherwise("updated").alias("kind"), "id", "event_type", "value")
+
+
+def replication_page(spark, sf_dir):
+    return segments.read_from(_plain_feed(event_log(spark, sf_dir)), 900, 100)
+
+
+def replication_tail(spark, sf_dir):
+    return feed.tail(_plain_feed(event_log(spark, sf_dir)), 900).select("offset", "id")
+
+
+def retention(spark, sf_dir):
+    return segments.prune_through(_plain_feed(event_log(spark, sf_dir)), 800).select("offset", "kind")
+
+
+def follower_state(spark, sf_dir):
+    log = event_log(spark, sf_dir)
+    return feed.follow(log.filter(F.col("_seq") < 400), ["id"], _plain_feed(log), 400).select("_seq", "id", "value")
+
+
+def backup_restored(spark, sf_dir):
+    """The live view of a full backup of 600 versions and an increment of 300."""
+    log, folder = event_log(spark, sf_dir), segments.scratch(spark)
+    segments.backup(log, folder, 600)
+    segments.backup(log, folder, 900, 600)
+    return views.live(segments.restore(spark, folder, [(0, 600), (600, 900)], log.schema), ["id"])
+
+
+def committed_log(spark, sf_dir):
+    """Two commits to a store, read as of its watermark."""
+    log, store = event_log(spark, sf_dir), segments.Store(spark, segments.scratch(spark))
+    store.commit({"Event": log.filter(F.col("_seq") < 500)})
+    store.commit({"Event": log.filter((F.col("_seq") >= 500) & (F.col("_seq") < 950))})
+    return views.as_of(store.log("Event", log.schema), ["id"], store.watermark("Event"))
+
+
+def store_compacted(spark, sf_dir):
+    log, store = event_log(spark, sf_dir).filter(F.col("_seq") < 700), segments.Store(spark, segments.scratch(spark))
+    store.commit({"Event": log})
+    store.compact("Event", log.schema, ["id"])
+    return store.log("Event", log.schema)
+
+
+def update_versions(spark, sf_dir):
+    """Updates of ids 0 to 59; those that aren't live leave no version."""
+    log = event_log(spark, sf_dir).filter(F.col("_seq") < 700)
+    batch = spark.range(60).select("id", F.lit("click").alias("event_type"), F.col("id").cast("double").alias("value"))
+    return writes.updates(log, ["id"], batch)
+
+
+def unlink_versions(spark, sf_dir):
+    j = _junction(spark, sf_dir)
+    wanted = _table(spark, sf_dir, "supplier").filter("s_suppkey <= 3").select(F.col("s_suppkey").alias("supplier"), F.lit(1).cast("long").alias("one"))
+    pairs = _table(spark, sf_dir, "part").filter("p_partkey <= 100").select(F.col("p_partkey").alias("part"), F.lit(1).cast("long").alias("one")).join(wanted, "one")
+    return writes.links(j, pairs, "part", "supplier", unlink=True).select("part", "supplier", "_deleted")
+
+
+MOVED = SCHEMA.replace("c_name: &string @length(1, 25)", "label: &string @length(1, 25)").replace("card: c_name", "card: label")
+
+
+def migrated_log(spark, sf_dir):
+    """Customers under a schema that renames the name: found by the differ, carried over by the hop."""
+    return migrate.hop(_as_log(_customers(spark, sf_dir), "id"), catalog(), read_schema(MOVED), "Customer").select(F.col("id").cast("long").alias("id"), "label", "c_mktsegment")
+
+
+def schema_changes(spark, sf_dir):
+    found = migrate.diff(catalog(), read_schema(MOVED))
+    return spark.createDataFrame([(c.kind, c.model, c.name, c.to, c.breaking) for c in found], "kind string, model string, name string, renamed string, breaking boolean")
+
+
+CASCADE = SCHEMA.replace("@on_delete(restrict)", "@on_delete(cascade)")
+
+
+def transaction_cascade(spark, sf_dir):
+    """Orders that stay when a transaction deletes the customers with a negative balance, and their orders with them."""
+    tx = writes.Transaction(read_schema(CASCADE), {"Customer": _as_log(_customers(spark, sf_dir), "id"), "Order": orders(spark, sf_dir).log})
+    tx.delete("Customer", _customers(spark, sf_dir).filter("c_acctbal < 0").select("id"))
+    return tx.live("Order").select("id", "customer")
+
+
 QUERIES = {f.__name__: f for f in (
     scan_aggregate, range_top10, range_between, range_empty, find_by_status, find_by_status_and_priority, find_by_customer, find_by_null, get_by_id, get_by_unique,
     filter_bad_value, filter_loose, list_page, list_total, list_clamped, enum_sort, projection_card, projection_page, order_customer, customer_orders,
     order_with_relations, part_suppliers, junction_pairs, junction_pairs_at, dangling_orders, restrict_children, cascade_delete, set_null_children,
     constraint_violations, unique_violations, write_conflicts, insert_versions, delete_versions, live_latest, as_of_scan, get_at, find_at, read_physical,
-    metrics_counts, live_count, storage_stats, compacted, change_feed, subscription_filter, live_query_delta, live_query_init, pitr_replay,
+    replication_page, replication_tail, retention, follower_state, backup_restored, committed_log, store_compacted, update_versions, unlink_versions,
+    migrated_log, schema_changes, transaction_cascade, metrics_counts, live_count, storage_stats, compacted, change_feed, subscription_filter, live_query_delta, live_query_init, pitr_replay,
 )}
 
 _SECONDS = "CAST(epoch(o_orderdate) AS BIGINT)"
@@ -404,4 +489,16 @@ ORACLE_SQL = {
     "live_query_delta": f"WITH {_LOG}, {_view('v', '_seq < 4900', 'NOT _deleted AND value > 50')}, {_view('w', f'_seq < {CUT}', 'NOT _deleted AND value > 50')} SELECT CASE WHEN v.id IS NULL THEN 'Added' WHEN w.id IS NULL THEN 'Removed' ELSE 'Updated' END AS change, coalesce(w.id, v.id) AS id, CASE WHEN w.id IS NULL THEN v.event_type ELSE w.event_type END AS event_type, CASE WHEN w.id IS NULL THEN v.value ELSE w.value END AS value FROM v FULL JOIN w ON v.id = w.id WHERE v.id IS NULL OR w.id IS NULL OR v.event_type IS DISTINCT FROM w.event_type OR v.value IS DISTINCT FROM w.value",
     "live_query_init": f"WITH {_LOG}, {_view('w', f'_seq < {CUT}', 'NOT _deleted AND value > 50')} SELECT 'Added' AS change, id FROM w",
     "pitr_replay": f"WITH {_LOG}, {_view('v', f'_seq < {CUT}')} SELECT id, value FROM v",
+    "replication_page": f"WITH {_LOG} SELECT _seq + 1 AS \"offset\", CASE WHEN _deleted THEN 'deleted' ELSE 'updated' END AS kind, id, event_type, value FROM log WHERE _seq + 1 > 900 ORDER BY _seq LIMIT 100",
+    "replication_tail": f"WITH {_LOG} SELECT _seq + 1 AS \"offset\", id FROM log WHERE _seq + 1 > 900",
+    "retention": f"WITH {_LOG} SELECT _seq + 1 AS \"offset\", CASE WHEN _deleted THEN 'deleted' ELSE 'updated' END AS kind FROM log WHERE _seq + 1 > 800",
+    "follower_state": f"WITH {_LOG}, {_view('v')} SELECT _seq, id, value FROM v",
+    "backup_restored": f"WITH {_LOG}, {_view('v', '_seq < 900')} SELECT _seq, id, event_type, value FROM v",
+    "committed_log": f"WITH {_LOG}, {_view('v', '_seq < 950')} SELECT _seq, id, event_type, value FROM v",
+    "store_compacted": f"WITH {_LOG}, {_view('v', '_seq < 700')} SELECT row_number() OVER (ORDER BY _seq) - 1 AS _seq, false AS _deleted, id, event_type, value FROM v",
+    "update_versions": f"WITH {_LOG}, {_view('v', '_seq < 700')} SELECT 699 + row_number() OVER (ORDER BY id) AS _seq, false AS _deleted, id, 'click' AS event_type, CAST(id AS DOUBLE) AS value FROM v WHERE id < 60",
+    "unlink_versions": f"WITH {_JUNCTION}, {_PAIRS.format('true')} SELECT part, supplier, true AS _deleted FROM p WHERE NOT gone AND part <= 100 AND supplier <= 3",
+    "migrated_log": "SELECT c_custkey AS id, c_name AS label, c_mktsegment FROM customer",
+    "schema_changes": "SELECT * FROM (VALUES ('change_projection', 'Customer', '', '', false), ('rename_field', 'Customer', 'c_name', 'label', true)) AS t(kind, model, name, renamed, breaking)",
+    "transaction_cascade": "SELECT o_orderkey AS id, o_custkey AS customer FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
 }

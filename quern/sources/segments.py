@@ -7,6 +7,7 @@ file to it, which is the commit point. One writer at a time is the contract.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,12 @@ from pyspark.sql import functions as F
 MANIFEST = "commit long, epoch long, model string, path string, low long, high long"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder where driver and executors both can write: below spark.checkpoint.dir, or a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 class Store:
     """Logs of several models in a folder."""
 
