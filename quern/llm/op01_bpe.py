@@ -73,7 +73,7 @@ class WordBpe:
                 node = node.setdefault(c, {})
             node[""] = token
         self.keeps: dict[tuple[str, str], bool] = {}
-        self.forget()
+        self.reset_words()
         self.pattern = regex.compile(next(x["pattern"]["Regex"] for x in config["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -101,7 +101,7 @@ class WordBpe:
             else:
                 return True
 
-    def forget(self) -> None:
+    def reset_words(self) -> None:
         """An empty table of words: word -> its number, and all words' ids end to end."""
         self.words = {s: k for k, s in enumerate(self.special)}
         self.flat, self.ends = array("i", self.special.values()), array("q", range(len(self.special) + 1))
@@ -168,7 +168,7 @@ class WordBpe:
         pieces = [self._pieces(t or "") for t in texts]
         new = set(chain.from_iterable(pieces)).difference(self.words)
         if len(self.words) + len(new) > CACHE:
-            self.forget()
+            self.reset_words()
             new = set(chain.from_iterable(pieces)).difference(self.words)
         self.encode_words(new)
         counts = np.array([len(p) for p in pieces], np.int64)

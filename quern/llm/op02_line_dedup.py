@@ -80,7 +80,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     """
     gone = cut(later_copies(docs, min_lines, min_words)).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__gone"))
     kept = docs.drop("n_lines", "n_removed", "n_runs")
-    out = kept.join(gone, kept["doc_id"] == F.col("__id"), "left").drop("__id")
+    # by shuffle at any size: the lists grow with the corpus
+    out = kept.join(gone.hint("merge"), kept["doc_id"] == F.col("__id"), "left").drop("__id")
     lines, none = F.split("text", "\n", -1), F.array().cast("array<int>")
     out = out.withColumn("__gone", F.coalesce("__gone", none))
     out = out.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)), "n_removed": F.size("__gone")})

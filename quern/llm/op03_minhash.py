@@ -194,7 +194,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     shared = cut(lookup(buckets, hubs, ["bucket"], ["hub", "m"], "m", buckets.count()).filter("m is not null"))
     pairs = cut(shared.filter((F.col("hub.doc_id") < F.col("doc_id")) & _sizes_fit(F.col("hub.n"), F.col("n"))).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
     meeting = cut(shared.select("doc_id").distinct())
-    sets = cut(shingle_sets(docs.select("doc_id", "text").join(meeting, "doc_id", "left_semi")))
+    sets = cut(shingle_sets(docs.select("doc_id", "text").join(meeting.hint("merge"), "doc_id", "left_semi")))
     links = cut(confirmed(pairs, sets))
     labels = cut(components(links))
 
@@ -221,8 +221,23 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs, of each group of near-duplicates the document with the smallest doc_id alone."""
-    return docs.join(near_groups(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
+    return docs.join(near_groups(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct().hint("merge"), F.col("doc_id") == F.col("__id"), "left_semi")
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+r AS (SELECT x FROM e GROUP BY x HAVING count(*) > 1),
+c AS (SELECT doc_id, n, x FROM e WHERE x IN (SELECT x FROM r)),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM c a JOIN c b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 75 * (max(a.n) + max(b.n) - count(*))),
+g AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+t AS (SELECT a, b FROM g UNION SELECT t.a, g.b FROM t JOIN g ON t.b = g.a),
+k AS (SELECT a, min(b) AS m FROM t GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(k.m, s.doc_id)) AS component_id, coalesce(k.m, s.doc_id) >= s.doc_id AS kept
+FROM s LEFT JOIN k ON k.a = s.doc_id
+"""

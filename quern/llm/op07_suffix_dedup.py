@@ -282,7 +282,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFr
     dup = counts.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("w")).filter("n > 1")
     shared = lookup(counts.select("doc_id", "h"), dup, ["h"], ["w"], "w", counts.count()).filter("w is not null")
     hs = shared.groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
-    rows = cut(contexts(raw.join(hs, "doc_id", "left").select("doc_id", "text", "hs"), length))
+    rows = cut(contexts(raw.join(hs.hint("merge"), "doc_id", "left").select("doc_id", "text", "hs"), length))
 
     members = rows.filter("kind = 'run'").select("doc_id", "at", "windows", "h", "c1", "c2")
     n_members = members.count()
@@ -320,7 +320,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     texts = rows.filter("kind = 'text'").select("doc_id", "body")
-    cut_texts = texts.join(spans, "doc_id", "left").select("doc_id", "body", "starts", "lengths").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cut_texts = texts.join(spans.hint("merge"), "doc_id", "left").select("doc_id", "body", "starts", "lengths").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     plain = rows.filter("kind = 'plain'").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
     return plain.unionByName(cut_texts)
 

@@ -170,7 +170,7 @@ def _flier(level: int, last: bool):
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: docs without what is not taken, and with what is taken twice twice. doc_id is unique."""
     copies = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy"))
-    return docs.join(copies, docs["doc_id"] == copies["__id"]).select(*[docs[c] for c in docs.columns])
+    return docs.join(copies.hint("merge"), docs["doc_id"] == copies["__id"]).select(*[docs[c] for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,4 +17,9 @@ QUERIES = {
     "op10_quality": op10_quality.op10_quality,
 }
 
-ORACLE_SQL = {"op2_line_dedup": op02_line_dedup.ORACLE_SQL, "op6_url_filter": op06_url_filter.ORACLE_SQL}
+ORACLE_SQL = {
+    "op2_line_dedup": op02_line_dedup.ORACLE_SQL,
+    "op3_minhash": op03_minhash.ORACLE_SQL,
+    "op5_warc": op05_warc.ORACLE_SQL,
+    "op6_url_filter": op06_url_filter.ORACLE_SQL,
+}
