@@ -327,3 +327,19 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFr
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, b, unnest(range(0, n - 199)) AS p FROM d WHERE n >= 200),
+h AS (SELECT doc_id, p, md5(b[p + 1 : p + 200]) AS h FROM w),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY h) AS k FROM h) WHERE k > 1),
+i AS (SELECT doc_id, p, sum(CASE WHEN p <= q + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS island
+      FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM r)),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS z FROM i GROUP BY doc_id, island),
+k AS (SELECT s.doc_id, a, z, hex(d.b[coalesce(lag(z) OVER (PARTITION BY s.doc_id ORDER BY a), 0) + 1 : a]) AS head FROM s JOIN d ON d.doc_id = s.doc_id),
+o AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS spans, max(z) AS z, string_agg(head, '' ORDER BY a) AS heads FROM k GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(CASE WHEN o.doc_id IS NULL THEN b ELSE unhex(heads || hex(b[z + 1 : n])) END) AS kept_sha256
+FROM d LEFT JOIN o ON o.doc_id = d.doc_id
+"""

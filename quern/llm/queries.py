@@ -22,4 +22,5 @@ ORACLE_SQL = {
     "op3_minhash": op03_minhash.ORACLE_SQL,
     "op5_warc": op05_warc.ORACLE_SQL,
     "op6_url_filter": op06_url_filter.ORACLE_SQL,
+    "op7_suffix_dedup": op07_suffix_dedup.ORACLE_SQL,
 }
