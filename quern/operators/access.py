@@ -132,7 +132,8 @@ class Table:
         return self.rows().select(*self.model.projected(name))
 
     def get_projected(self, name: str, key) -> DataFrame:
-        return self.project(name).filter(F.col(self.model.id) == F.lit(key))
+        """A projected point read is of the live view, whatever the watermark; projected lists keep to it."""
+        return Table(self.catalog, self.name, self.log).project(name).filter(F.col(self.model.id) == F.lit(key))
 
     def physical_rows(self) -> DataFrame:
         return self.log.agg(F.count("*").alias("row_count"))

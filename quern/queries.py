@@ -334,30 +334,24 @@ def live_query_init(spark, sf_dir):
 
 def pitr_replay(spark, sf_dir):
     log = event_log(spark, sf_dir)
-    tail = log.select((F.col("_seq") + 1).alias("offset"), F.when(F.col("_deleted"), "deleted").otherwise("updated").alias("kind"), "id", "event_type", "value")
-    return feed.replay(log, tail, ["id"], 3000, CUT).select("id", "value")
-
-
-def _plain_feed(log: DataFrame) -> DataFrame:
-    """The log as a replication feed: an event for each version."""
-    return log.select((F.col("_seq") + 1).alias("offset"), F.when(F.col("_deleted"), "deleted").otherwise("updated").alias("kind"), "id", "event_type", "value")
+    return feed.replay(log, feed.raw_events(log), ["id"], 3000, CUT).select("id", "value")
 
 
 def replication_page(spark, sf_dir):
-    return segments.read_from(_plain_feed(event_log(spark, sf_dir)), 900, 100)
+    return segments.read_from(feed.raw_events(event_log(spark, sf_dir)), 900, 100)
 
 
 def replication_tail(spark, sf_dir):
-    return feed.tail(_plain_feed(event_log(spark, sf_dir)), 900).select("offset", "id")
+    return feed.tail(feed.raw_events(event_log(spark, sf_dir)), 900).select("offset", "id")
 
 
 def retention(spark, sf_dir):
-    return segments.prune_through(_plain_feed(event_log(spark, sf_dir)), 800).select("offset", "kind")
+    return segments.prune_through(feed.raw_events(event_log(spark, sf_dir)), 800).select("offset", "kind")
 
 
 def follower_state(spark, sf_dir):
     log = event_log(spark, sf_dir)
-    return feed.follow(log.filter(F.col("_seq") < 400), ["id"], _plain_feed(log), 400).select("_seq", "id", "value")
+    return feed.follow(log.filter(F.col("_seq") < 400), ["id"], feed.raw_events(log), 400).select("_seq", "id", "value")
 
 
 def backup_restored(spark, sf_dir):

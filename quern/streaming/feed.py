@@ -25,6 +25,26 @@ def events(log: DataFrame, keys: list[str], model: str) -> DataFrame:
     return out.select((F.col(views.SEQ) + 1).alias("offset"), F.lit(model).alias("model"), "kind", *views.fields_of(log))
 
 
+def raw_events(log: DataFrame) -> DataFrame:
+    """The log as a replication feed: an event for each version, row by row, so it works on streams too.
+
+    Without a look at earlier versions kind tells updated (written in any way) from deleted.
+    """
+    return log.select((F.col(views.SEQ) + 1).alias("offset"), F.when(F.col(views.DELETED), "deleted").otherwise("updated").alias("kind"), *views.fields_of(log))
+
+
+def watch_events(stream: DataFrame, read_log: Callable[[], DataFrame], keys: list[str], model: str, predicate: Column, sink: Callable[[DataFrame, int], None]):
+    """A writer that hands sink each micro-batch's events() that pass predicate; only the batch's keys are looked up in the log."""
+
+    def on_batch(batch: DataFrame, number: int) -> None:
+        ends = batch.agg(F.min(views.SEQ).alias("low"), F.max(views.SEQ).alias("high")).first()
+        if ends.high is not None:
+            known = read_log().filter(F.col(views.SEQ) <= ends.high).join(batch.select(*keys).distinct(), keys, "left_semi")
+            sink(subscription(events(known, keys, model).filter(F.col("offset") > ends.low), predicate), number)
+
+    return stream.writeStream.foreachBatch(on_batch)
+
+
 def subscription(feed: DataFrame, predicate: Column) -> DataFrame:
     """Events whose row passes the list predicate; works on streams as on tables."""
     return feed.filter(predicate)

@@ -149,6 +149,13 @@ def test_store_backup_and_stream(spark, tmp_path):
     running.processAllAvailable()
     running.stop()
     assert sorted(got) == [("Added", 2), ("Added", 3)]
+    seen, live = [], []
+    watching = feed.watch_events(stream, lambda: store.log("User", users.schema), ["id"], "User", F.col("id") > 1, lambda d, n: seen.extend(rows(d, "offset", "kind", "id")))
+    for writer, folder in ((watching, "cp2"), (feed.subscription(feed.raw_events(stream), F.col("age") > 5).writeStream.foreachBatch(lambda d, n: live.extend(rows(d, "offset", "id"))), "cp3")):
+        running = writer.option("checkpointLocation", str(tmp_path / folder)).start()
+        running.processAllAvailable()
+        running.stop()
+    assert sorted(seen) == [(2, "inserted", 2), (3, "inserted", 3)] and sorted(live) == [(2, 2), (3, 3)]
     store.compact("User", users.schema, ["id"])
     assert store.watermark("User") == 3 and store.log("User", users.schema).count() == 3
 
