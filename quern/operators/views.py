@@ -1,8 +1,8 @@
 """What a versioned log shows: live rows, snapshots, physical rows, junction pairs, statistics, compaction.
 
 A log has a row for each version: _seq (dense from 0 within an epoch), _deleted, and the model's columns. Of the versions
-of an id the newest counts, unless it is deleted. Everything is one aggregation by id: max_by needs no sort and combines
-before the shuffle, so a churned id of any number of versions sends one row a task.
+of an id the newest counts, unless it is deleted. Everything is one aggregation by id, combined before the shuffle, so a
+churned id of any number of versions sends one row a task; a window would send and sort them all in one.
 """
 
 from __future__ import annotations
@@ -41,10 +41,14 @@ def read_at(log: DataFrame, row: int) -> DataFrame:
 
 
 def pairs(links: DataFrame, left: str, right: str, watermark: int | None = None) -> DataFrame:
-    """(left, right, first_seq): linked pairs, the newest entry of each deciding; first_seq is its first appearance."""
+    """(left, right, first_seq): linked pairs, the newest entry of each deciding; first_seq is its first appearance.
+
+    Should two entries of a pair share a _seq, a retraction counts as the later. The newest entry is kept as one number,
+    so that the aggregation is by hashes.
+    """
     log = links if watermark is None else links.filter(F.col(SEQ) < watermark)
-    out = log.groupBy(left, right).agg(F.min(SEQ).alias("first_seq"), F.max_by(DELETED, SEQ).alias("__gone"))
-    return out.filter(~F.col("__gone")).drop("__gone")
+    newest_ = F.max(F.col(SEQ) * 2 + F.col(DELETED).cast("long"))
+    return log.groupBy(left, right).agg(F.min(SEQ).alias("first_seq"), newest_.alias("__newest")).filter("__newest % 2 = 0").drop("__newest")
 
 
 def statistics(log: DataFrame, keys: list[str]) -> DataFrame:

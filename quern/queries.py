@@ -103,9 +103,9 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _junction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A link entry for each line; a returned line ('R') retracts its pair. _seq orders entries of a pair fully."""
+    """A link entry for each line; a returned line ('R') retracts its pair."""
     li = _table(spark, sf_dir, "lineitem")
-    return li.select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias(views.SEQ), (F.col("l_returnflag") == "R").alias("gone")).groupBy("part", "supplier", views.SEQ).agg(F.max("gone").alias(views.DELETED))
+    return li.select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias(views.SEQ), (F.col("l_returnflag") == "R").alias(views.DELETED))
 
 
 def scan_aggregate(spark, sf_dir):
