@@ -15,22 +15,27 @@ WORD_REGEX = r"[^\x20\x09-\x0D]+"
 HOT_SHARE = 1000
 
 
+_OWN: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, the folder that driver and executors share.
 
-    Where the session names none (tests, a laptop) a temporary folder is set for the session.
+    Where the session names none (tests, a laptop) it is below a temporary folder, one for each application.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="quern-")
+        base = _OWN[app]
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: later steps neither recompute it nor depend on any executor."""
     path = work_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
