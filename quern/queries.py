@@ -414,6 +414,89 @@ def transaction_cascade(spark, sf_dir):
     return tx.live("Order").select("id", "customer")
 
 
+# The same operators over whole tables: logs are split at a share of their length, batches are taken by what rows hold.
+
+
+def _length(log: DataFrame) -> int:
+    return log.agg(F.coalesce(F.max(views.SEQ) + 1, F.lit(0))).first()[0]
+
+
+def dangling_orders_whole(spark, sf_dir):
+    """Customers with a negative balance are gone."""
+    known = _customers(spark, sf_dir).filter("c_acctbal >= 0")
+    return relations.dangling(orders(spark, sf_dir).all(), "customer", known, "id").select("id", "customer")
+
+
+def unique_violations_whole(spark, sf_dir):
+    """A batch that gives each customer of the segment BUILDING the name of the one before."""
+    c = _customers(spark, sf_dir)
+    names = c.select((F.col("id") + 1).alias("id"), F.col("c_name").alias("other"))
+    batch = c.filter("c_mktsegment = 'BUILDING'").join(names, "id").drop("c_name").withColumnRenamed("other", "c_name").select(*c.columns)
+    return writes.broken_unique(catalog(), "Customer", batch, c).select("kind", "rule", "key")
+
+
+def write_conflicts_whole(spark, sf_dir):
+    """A transaction that wrote the keys of all purchases before its snapshot at half of the log."""
+    log = event_log(spark, sf_dir)
+    half = _length(log) // 2
+    return writes.conflicts(log, half, log.filter((F.col("_seq") < half) & (F.col("event_type") == "purchase")), ["id"])
+
+
+def insert_versions_whole(spark, sf_dir):
+    """Customers with a negative balance, new to a log of all others."""
+    c = _customers(spark, sf_dir)
+    return writes.inserts(_as_log(c.filter("c_acctbal >= 0"), "id"), c.filter("c_acctbal < 0"), ["id"]).select("_seq", "id", "_deleted")
+
+
+def delete_versions_whole(spark, sf_dir):
+    """Deletes of all ids that ever had a purchase of more than 50."""
+    log = event_log(spark, sf_dir)
+    return writes.deletes(log, ["id"], log.filter("event_type = 'purchase' and value > 50").select("id")).select("_seq", "id", "value", "_deleted")
+
+
+def subscription_filter_whole(spark, sf_dir):
+    return feed.subscription(feed.events(event_log(spark, sf_dir), ["id"], "Event"), F.col("event_type") == "click").select("offset", "kind", "id", "value")
+
+
+def backup_restored_whole(spark, sf_dir):
+    """The live view of a full backup of two thirds of the log and an increment of the rest."""
+    log, folder = event_log(spark, sf_dir), segments.scratch(spark)
+    end = _length(log)
+    cut = end * 2 // 3
+    segments.backup(log, folder, cut)
+    segments.backup(log, folder, end, cut)
+    return views.live(segments.restore(spark, folder, [(0, cut), (cut, end)], log.schema), ["id"])
+
+
+def committed_log_whole(spark, sf_dir):
+    """Two commits that hold the log, read as of the store's watermark."""
+    log, store = event_log(spark, sf_dir), segments.Store(spark, segments.scratch(spark))
+    half = _length(log) // 2
+    store.commit({"Event": log.filter(F.col("_seq") < half)})
+    store.commit({"Event": log.filter(F.col("_seq") >= half)})
+    return views.as_of(store.log("Event", log.schema), ["id"], store.watermark("Event"))
+
+
+def store_compacted_whole(spark, sf_dir):
+    log, store = event_log(spark, sf_dir), segments.Store(spark, segments.scratch(spark))
+    store.commit({"Event": log})
+    store.compact("Event", log.schema, ["id"])
+    return store.log("Event", log.schema)
+
+
+def update_versions_whole(spark, sf_dir):
+    """Updates of all ids of the log; those that aren't live leave no version."""
+    log = event_log(spark, sf_dir)
+    batch = log.select("id").distinct().select("id", F.lit("click").alias("event_type"), F.col("id").cast("double").alias("value"))
+    return writes.updates(log, ["id"], batch)
+
+
+def unlink_versions_whole(spark, sf_dir):
+    """All pairs of lineitem; those that aren't linked leave no entry."""
+    j = _junction(spark, sf_dir)
+    return writes.links(j, j.select("part", "supplier").distinct(), "part", "supplier", unlink=True).select("_seq", "part", "supplier", "_deleted")
+
+
 QUERIES = {f.__name__: f for f in (
     scan_aggregate, range_top10, range_between, range_empty, find_by_status, find_by_status_and_priority, find_by_customer, find_by_null, get_by_id, get_by_unique,
     filter_bad_value, filter_loose, list_page, list_total, list_clamped, enum_sort, projection_card, projection_page, order_customer, customer_orders,
@@ -421,6 +504,8 @@ QUERIES = {f.__name__: f for f in (
     constraint_violations, unique_violations, write_conflicts, insert_versions, delete_versions, live_latest, as_of_scan, get_at, find_at, read_physical,
     replication_page, replication_tail, retention, follower_state, backup_restored, committed_log, store_compacted, update_versions, unlink_versions,
     migrated_log, schema_changes, transaction_cascade, metrics_counts, live_count, storage_stats, compacted, change_feed, subscription_filter, live_query_delta, live_query_init, pitr_replay,
+    dangling_orders_whole, unique_violations_whole, write_conflicts_whole, insert_versions_whole, delete_versions_whole, subscription_filter_whole,
+    backup_restored_whole, committed_log_whole, store_compacted_whole, update_versions_whole, unlink_versions_whole,
 )}
 
 _SECONDS = "CAST(epoch(o_orderdate) AS BIGINT)"
@@ -495,4 +580,15 @@ ORACLE_SQL = {
     "migrated_log": "SELECT c_custkey AS id, c_name AS label, c_mktsegment FROM customer",
     "schema_changes": "SELECT * FROM (VALUES ('change_projection', 'Customer', '', '', false), ('rename_field', 'Customer', 'c_name', 'label', true)) AS t(kind, model, name, renamed, breaking)",
     "transaction_cascade": "SELECT o_orderkey AS id, o_custkey AS customer FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
+    "dangling_orders_whole": "SELECT o_orderkey AS id, o_custkey AS customer FROM orders WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal >= 0)",
+    "unique_violations_whole": "WITH b AS (SELECT a.c_custkey AS id, p.c_name AS name FROM customer a JOIN customer p ON p.c_custkey = a.c_custkey - 1 WHERE a.c_mktsegment = 'BUILDING'), t AS (SELECT id, name, 1 AS new FROM b UNION ALL SELECT c_custkey, c_name, 0 FROM customer WHERE c_custkey NOT IN (SELECT id FROM b)) SELECT 'unique' AS kind, 'c_name &' AS rule, CAST(max(id) AS VARCHAR) AS key FROM t GROUP BY name HAVING count(*) > 1 AND sum(new) > 0",
+    "write_conflicts_whole": f"WITH {_LOG}, h AS (SELECT (max(_seq) + 1) // 2 AS half FROM log) SELECT DISTINCT id FROM log, h WHERE _seq < half AND event_type = 'purchase' AND id IN (SELECT id FROM log, h WHERE _seq >= half)",
+    "insert_versions_whole": "WITH t AS (SELECT coalesce(max(c_custkey) + 1, 0) AS s FROM customer WHERE c_acctbal >= 0) SELECT s + row_number() OVER (ORDER BY c_custkey) - 1 AS _seq, c_custkey AS id, false AS _deleted FROM customer, t WHERE c_acctbal < 0",
+    "delete_versions_whole": f"WITH {_LOG}, {_view('v')}, t AS (SELECT coalesce(max(_seq) + 1, 0) AS s FROM log) SELECT s + row_number() OVER (ORDER BY id) - 1 AS _seq, id, value, true AS _deleted FROM v, t WHERE id IN (SELECT id FROM log WHERE event_type = 'purchase' AND value > 50)",
+    "subscription_filter_whole": f"WITH {_LOG}, b AS (SELECT *, lag(_deleted) OVER (PARTITION BY id ORDER BY _seq) AS was FROM log) SELECT _seq + 1 AS \"offset\", CASE WHEN was = false THEN 'updated' ELSE 'inserted' END AS kind, id, value FROM b WHERE event_type = 'click'",
+    "backup_restored_whole": f"WITH {_LOG}, {_view('v')} SELECT _seq, id, event_type, value FROM v",
+    "committed_log_whole": f"WITH {_LOG}, {_view('v')} SELECT _seq, id, event_type, value FROM v",
+    "store_compacted_whole": f"WITH {_LOG}, {_view('v')} SELECT row_number() OVER (ORDER BY _seq) - 1 AS _seq, false AS _deleted, id, event_type, value FROM v",
+    "update_versions_whole": f"WITH {_LOG}, {_view('v')} SELECT (SELECT max(_seq) FROM log) + row_number() OVER (ORDER BY id) AS _seq, false AS _deleted, id, 'click' AS event_type, CAST(id AS DOUBLE) AS value FROM v",
+    "unlink_versions_whole": f"WITH {_JUNCTION}, {_PAIRS.format('true')} SELECT (SELECT max(_seq) FROM j) + row_number() OVER (ORDER BY part, supplier) AS _seq, part, supplier, true AS _deleted FROM p WHERE NOT gone",
 }
