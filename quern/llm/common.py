@@ -14,6 +14,9 @@ WORD_REGEX = r"[^\x20\x09-\x0D]+"
 #: A key is hot when it holds more than one row in HOT_SHARE, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
 
+#: The column of row numbers, for steps that must not rely on doc_id.
+ROW = "__row"
+
 
 _OWN: dict[str, str] = {}
 
@@ -39,6 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_rows(df: DataFrame) -> DataFrame:
+    """df with a number for each row in ROW, not dense; written to the shared folder, so that a row keeps its number."""
+    return cut(df.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def lookup(df: DataFrame, table: DataFrame, keys: list[str], values: list[str], weight: str, total: int) -> DataFrame:
     """Left join of df with table, which has one row for each key, where one key may hold a third of df's rows.
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lookup
+from .common import ROW, cut, lookup, with_rows
 from .components import components
 
 WORDS, PERMUTATIONS, BANDS, CHUNK = 5, 64, 32, 512
@@ -175,12 +175,8 @@ def _pairs_of(rows: pa.RecordBatch, ends) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of docs (doc_id, text; further columns are left out).
-
-    Null and wordless texts have empty sets and are linked with nothing. doc_id is unique and not null; of rows that
-    repeat one, each gets the same component. An empty table gives an empty one.
-    """
+def _components_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of docs (doc_id, text), whose doc_id is unique and not null."""
     spark = docs.sparkSession
     signed = cut(signatures(docs))
     total = signed.count()
@@ -215,13 +211,36 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     final = labels.join(members.filter("doc_id = owner").select(F.col("doc_id").alias("node"), "copies").distinct(), "node").select(F.col("node").alias("owner"), "component", "copies")
     out = lookup(members.select("doc_id", "n_shingles", "owner"), final, ["owner"], ["component"], "copies", total)
-    component = F.coalesce("component", "owner")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "owner").alias("component_id"))
+
+
+def _grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows with ROW their (ROW, doc_id, n_shingles, group), and of each group (group, n, component_id, keeper): its rows, smallest doc_id and the row that has it."""
+    found = _components_of(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "n_shingles", F.col("component_id").alias("group"))
+    placed = cut(found.join(rows.select(ROW, "doc_id"), ROW))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")
+    groups = placed.groupBy("group").agg(F.count("*").alias("n"), first)
+    return placed, groups.select("group", "n", F.col("first.doc_id").alias("component_id"), F.col(f"first.{ROW}").alias("keeper"))
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row of docs (doc_id, text; further columns are left out).
+
+    Null and wordless texts have empty sets and are linked with nothing. Rows are told apart by themselves, not by doc_id:
+    one row of each group is kept, of those with the smallest doc_id, whether that is repeated or not. Rows without doc_id
+    are grouped by their text like others and come last; a group of them alone has no component_id. An empty table gives
+    an empty one.
+    """
+    placed, groups = _grouped(with_rows(docs.select("doc_id", "text")))
+    out = lookup(placed, groups, ["group"], ["component_id", "keeper"], "n", placed.count())
+    return out.select("doc_id", "n_shingles", "component_id", (F.col(ROW) == F.col("keeper")).alias("kept"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs, of each group of near-duplicates the document with the smallest doc_id alone."""
-    return docs.join(near_groups(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct().hint("merge"), F.col("doc_id") == F.col("__id"), "left_semi")
+    """docs, of each group of near-duplicates one row alone, that with the smallest doc_id; as near_groups."""
+    rows = with_rows(docs)
+    keepers = _grouped(rows)[1].select(F.col("keeper").alias(ROW))
+    return rows.join(keepers.hint("merge"), ROW, "left_semi").select(*docs.columns)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ Groups are blocks of about BLOCK documents of one source, so a source of any sha
 tasks. A block decides its longest documents first and leaves its OPEN shortest to the next level, with the two that
 the flight left open, and so on until one block a source is left; its last documents are the landing problem, settled
 by the rounding that is nearest in words and documents, in the best of TRIALS draws of this last, small block.
-Draws are seeded by source, level and block, and blocks are hashes of doc_id: reruns agree.
+Draws are seeded by source, level and block, and blocks are hashes of doc_id: reruns agree. Rows without doc_id are dealt by
+their row number instead.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import ROW, cut, with_rows
 from .op04_fingerprint import words_of
 
 BLOCK, OPEN, TRIALS = 1000, 10, 12
@@ -113,9 +114,16 @@ def mix(docs: DataFrame, weights: list[float] = WEIGHTS, share: float = SHARE, m
     """(doc_id, source, size, source_size, target, copies) of each row of docs (doc_id, text, source).
 
     Null texts have no words; documents of size 0 are never taken. The null source is one source, the last. Repeated
-    rows are rows of their own. An empty table gives an empty one.
+    rows are rows of their own, and so are rows without doc_id. An empty table gives an empty one.
     """
-    sized = cut(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size")))
+    return _mix_rows(docs.withColumn(ROW, F.monotonically_increasing_id()), weights, share, most).drop(ROW)
+
+
+def _mix_rows(docs: DataFrame, weights: list[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """mix() of docs with ROW, which stays."""
+    # doc_id is without nulls on the way: pandas would turn it into floats
+    some_id, no_id = F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("__no_id")
+    sized = cut(docs.select(some_id, no_id, ROW, "source", F.size(words_of(F.col("text"))).cast("long").alias("size")))
     spark, sources = docs.sparkSession, targets_of(sized, weights, share, most)
     table = spark.createDataFrame([(s, n, words, t, (t / words if words else 0.0)) for s, n, words, t in sources], "source string, n long, source_size long, target double, ratio double")
     rows = sized.withColumnRenamed("source", "__s").join(F.broadcast(table), F.col("__s").eqNullSafe(F.col("source"))).drop("__s")
@@ -126,7 +134,7 @@ def mix(docs: DataFrame, weights: list[float] = WEIGHTS, share: float = SHARE, m
     level, blocks = 0, F.ceil(F.col("n") / BLOCK)
     while True:
         last = most_rows <= BLOCK
-        keyed = left.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "doc_id"), F.lit(1) if last else F.greatest(blocks, F.lit(1))))
+        keyed = left.withColumn("block", F.pmod(F.xxhash64(F.lit(level), F.when(F.col("__no_id"), F.col(ROW)).otherwise(F.col("doc_id"))), F.lit(1) if last else F.greatest(blocks, F.lit(1))))
         flown = cut(keyed.groupBy("source", "block").applyInPandas(_flier(level, last), keyed.drop("block").schema))
         done.append(flown.filter("p = 0 or p = 1").drop("n"))
         if last:
@@ -137,13 +145,13 @@ def mix(docs: DataFrame, weights: list[float] = WEIGHTS, share: float = SHARE, m
     for d in done[1:]:
         out = out.unionByName(d)
     copies = F.when(F.col("size") > 0, F.col("base") + F.col("p").cast("int")).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return out.select(F.when(~F.col("__no_id"), F.col("doc_id")).alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), ROW)
 
 
 def _flier(level: int, last: bool):
     def fly(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         seed = int.from_bytes(hashlib.sha256(f"{key[0]}|{level}|{key[1]}".encode()).digest()[:8], "big")
-        pdf = pdf.sort_values(["doc_id", "size"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["__no_id", "doc_id", "size", ROW], kind="stable").reset_index(drop=True)
         p, size = pdf["p"].tolist(), pdf["size"].tolist()
         best = None
         for trial in range(TRIALS if last else 1):
@@ -168,9 +176,10 @@ def _flier(level: int, last: bool):
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: docs without what is not taken, and with what is taken twice twice. doc_id is unique."""
-    copies = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy"))
-    return docs.join(copies.hint("merge"), docs["doc_id"] == copies["__id"]).select(*[docs[c] for c in docs.columns])
+    """The mix itself: docs without what is not taken, and with what is taken twice twice. Each row has copies of its own."""
+    rows = with_rows(docs)
+    copies = _mix_rows(rows, **options).filter("copies > 0").select(ROW, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy"))
+    return rows.join(copies.hint("merge"), ROW).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
