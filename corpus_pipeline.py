@@ -17,8 +17,12 @@ from quern.llm.op09_language import fit_on, identify
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without text or without a letter ('und') go."""
-    return identify(docs, fit_on(docs), keep_text=True).filter("lang_pred <> 'und'").select(*docs.columns)
+    """Documents whose language can be told: those without text or without a letter go.
+
+    A text with a letter stays whatever its name, also where no model could be fitted and all are 'und'.
+    """
+    named = identify(docs, fit_on(docs), keep_text=True)
+    return named.filter((F.col("lang_pred") != "und") | F.col("text").rlike(r"\p{L}")).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Features are counts of hashed letter 1-, 2- and 3-grams of the whole lower-cased text, with what is no letter as
 a space, log-scaled and of unit length. Families are a fixed table; a language that is not in it is a family of its own.
 The models are fitted on the driver on at most SAMPLE labelled texts a language, chosen by a hash of doc_id, and at
-most LANGUAGES languages: a bound of SAMPLE * LANGUAGES vectors whatever the corpus holds. Prediction is one pass
+most LANGUAGES languages, the most frequent: a bound of SAMPLE * LANGUAGES vectors whatever the corpus holds. Texts of any
+further language get the name of one of these. Prediction is one pass
 over the documents without a shuffle and sees nothing but the text.
 """
 
