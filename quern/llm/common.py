@@ -17,6 +17,12 @@ HOT_SHARE = 1000
 #: The column of row numbers, for steps that must not rely on doc_id.
 ROW = "__row"
 
+#: The columns of a row's content key.
+K1, K2 = "__k1", "__k2"
+
+#: So many copies of one row are made by a task.
+SPREAD = 1000
+
 
 _OWN: dict[str, str] = {}
 
@@ -24,10 +30,13 @@ _OWN: dict[str, str] = {}
 def work_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, the folder that driver and executors share.
 
-    Where the session names none (tests, a laptop) it is below a temporary folder, one for each application.
+    Where the session names none and its master is local (tests, a laptop) it is below a temporary folder, one for each
+    application. A cluster without the setting is refused, as executors would lose what they write to their own disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="quern-")
@@ -47,6 +56,22 @@ def with_rows(df: DataFrame) -> DataFrame:
     return cut(df.withColumn(ROW, F.monotonically_increasing_id()))
 
 
+def row_keys(columns: list[str]) -> dict[str, Column]:
+    """K1 and K2, a 128-bit hash of a row's columns. Equal rows have equal keys wherever they lie, so no row numbers are needed."""
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return {K1: F.xxhash64(F.lit(1), *parts), K2: F.xxhash64(F.lit(2), *parts)}
+
+
+def repeated_rows(df: DataFrame, copies: str) -> DataFrame:
+    """Each row as often as its column copies says, without that column, spread over tasks by SPREAD copies each."""
+    several = F.explode(F.sequence(F.lit(0), F.floor((F.col(copies) - 1) / SPREAD).cast("long")))
+    rest = F.least(F.lit(SPREAD).cast("long"), F.col(copies) - F.col("__part") * SPREAD)
+    once, more = df.filter(F.col(copies) == 1).drop(copies), df.filter(F.col(copies) > 1)
+    dealt = more.withColumn("__part", several).withColumn("__rest", rest)
+    dealt = dealt.repartition(*[F.col(c) for c in df.columns if c in (K1, K2)], "__part") if K1 in df.columns else dealt.repartition("__part")
+    return once.unionByName(dealt.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__rest")))).drop(copies, "__part", "__rest", "__copy"))
+
+
 def lookup(df: DataFrame, table: DataFrame, keys: list[str], values: list[str], weight: str, total: int) -> DataFrame:
     """Left join of df with table, which has one row for each key, where one key may hold a third of df's rows.
 

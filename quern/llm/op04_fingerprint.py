@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import K1, K2, cut, repeated_rows, row_keys
 
 BIN_BITS, BITS, TRIES, WORDS = 7, 8, 6, 5
 BINS = 1 << BIN_BITS
@@ -68,43 +68,58 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (same - chance) / (1 - chance))))
 
 
-def previous_ids(ids: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, next_id) of ids (doc_id, n_chars): the next lower doc_id, after the lowest the highest.
+def following_rows(ids: DataFrame) -> DataFrame:
+    """ids (doc_id, K1, K2 and more; K1 and K2 unique) with n1, n2: the keys of the row that follows in descending doc_id.
 
-    Ids are range-partitioned and looked at within a partition; of each partition only the two end ids meet elsewhere,
-    a row for each partition. Ids must be unique and not null.
+    Rows without doc_id come last; rows of one doc_id in the order of their keys. After the last comes the first. Rows are
+    range-partitioned and looked at within a partition; of each partition only its first keys meet elsewhere, a row for
+    each partition.
     """
     parts = max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = cut(ids.repartitionByRange(parts, "doc_id").withColumn("__p", F.spark_partition_id()))
-    ends = sorted((r.low, r.high, r["__p"]) for r in ranged.groupBy("__p").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect())
-    before = [(p, ends[i - 1][1]) for i, (_, _, p) in enumerate(ends)]
-    table = ids.sparkSession.createDataFrame(before, "__p int, __before long")
-    lag = F.lag("doc_id").over(Window.partitionBy("__p").orderBy("doc_id"))
-    return ranged.withColumn("__lag", lag).join(F.broadcast(table), "__p").select("doc_id", "n_chars", F.coalesce("__lag", "__before").alias("next_id"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col(K1), F.col(K2)]
+    ranged = cut(ids.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()))
+    low = F.min(F.struct(F.col("doc_id").isNull(), -F.col("doc_id"), K1, K2)).alias("low")
+    firsts = sorted((r["__p"], r.low[K1], r.low[K2]) for r in ranged.groupBy("__p").agg(low).collect())
+    after = [(p, *firsts[(i + 1) % len(firsts)][1:]) for i, (p, _, _) in enumerate(firsts)]
+    table = ids.sparkSession.createDataFrame(after, "__p int, __a1 long, __a2 long")
+    within = Window.partitionBy("__p").orderBy(*order)
+    out = ranged.withColumns({"__n1": F.lead(K1).over(within), "__n2": F.lead(K2).over(within)}).join(F.broadcast(table), "__p")
+    return out.select(*ids.columns, F.coalesce("__n1", "__a1").alias("n1"), F.coalesce("__n2", "__a2").alias("n2"))
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id, text, edited): the last third of each text gives way to the next document's beginning.
+    """(doc_id, K1, K2, n1, n2, copies, same, text, edited): the last third of each text gives way to the next one's beginning.
 
-    Texts are joined by doc_id twice on the same partitioning; what travels besides is that beginning alone. Rows
-    without a doc_id are left out; of a repeated doc_id the row with the least text stays.
+    Every row of docs counts. Rows of equal doc_id and text can't be told apart, so they are one row here with the
+    number of them: where a row is there c times, c - 1 of them are followed by their like (same is true) and the last by
+    the next text, whose keys are n1 and n2. Null texts are empty. An empty table gives an empty one. Texts are shuffled
+    once, by their keys; what travels besides is the beginnings alone.
     """
-    whole = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    one = Window.partitionBy("doc_id").orderBy("text")
-    whole = whole.withColumn("__k", F.row_number().over(one)).filter("__k = 1").drop("__k")
-    order = cut(previous_ids(whole.select("doc_id", F.length("text").alias("n_chars"))))
-    heads = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("owner"), F.floor(F.col("n_chars") / 3).cast("int").alias("take"), F.col("next_id")).join(whole, "doc_id")
-    heads = heads.select(F.col("owner").alias("doc_id"), "next_id", "take", F.substr("text", F.lit(1), F.col("take")).alias("head"))
-    return whole.join(heads, "doc_id").select("doc_id", "next_id", "text", F.concat(F.substr("text", F.lit(1), F.length("text") - F.col("take")), F.col("head")).alias("edited"))
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    keyed = whole.withColumns(row_keys(["doc_id", "text"]))
+    once = keyed.groupBy(K1, K2).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    ids = keyed.groupBy(K1, K2).agg(F.first("doc_id").alias("doc_id"), F.first(F.length("text")).alias("n_chars"), F.count("*").alias("n"))
+    order = cut(following_rows(ids))
+    wanted = order.select(F.col(K1).alias("__o1"), F.col(K2).alias("__o2"), F.floor(F.col("n_chars") / 3).cast("int").alias("take"), "n", F.col("n1").alias(K1), F.col("n2").alias(K2))
+    heads = wanted.join(once, [K1, K2]).select(F.col("__o1"), F.col("__o2"), F.col(K1).alias("n1"), F.col(K2).alias("n2"), "n", "take", F.substr("text", F.lit(1), F.col("take")).alias("head"))
+    both = once.join(heads.withColumnsRenamed({"__o1": K1, "__o2": K2}), [K1, K2])
+    last = F.struct(F.lit(False).alias("same"), F.lit(1).cast("long").alias("copies"))
+    before = F.struct(F.lit(True).alias("same"), (F.col("n") - 1).alias("copies"))
+    kinds = both.withColumn("__kind", F.explode(F.when(F.col("n") > 1, F.array(before, last)).otherwise(F.array(last))))
+    head = F.when(F.col("__kind.same"), F.substr("text", F.lit(1), F.col("take"))).otherwise(F.col("head"))
+    edited = F.concat(F.substr("text", F.lit(1), F.length("text") - F.col("take")), head)
+    return kinds.select("doc_id", K1, K2, "n1", "n2", "__kind.copies", "__kind.same", "text", edited.alias("edited"))
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = edited_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     texts = texts.withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)})
     texts = fingerprint(fingerprint(texts, "text", "own"), "edited", "changed")
-    prints = cut(texts.select("doc_id", "next_id", "n_chars", "edited_sha256", "own", "changed"))
-    following = prints.select(F.col("doc_id").alias("next_id"), F.col("own").alias("following"))
-    return prints.join(following, "next_id").select(
-        "doc_id", "n_chars", "edited_sha256", as_hex(F.col("own")).alias("fingerprint"), as_hex(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),
+    prints = cut(texts.drop("text", "edited"))
+    following = prints.filter("not same").select(F.col(K1).alias("n1"), F.col(K2).alias("n2"), F.col("own").alias("following"))
+    near = prints.join(following, ["n1", "n2"]).withColumn("near_next", F.when(F.col("same"), 1.0).otherwise(likeness(F.col("own"), F.col("following"))))
+    out = near.select(
+        K1, K2, "copies", "doc_id", "n_chars", "edited_sha256", as_hex(F.col("own")).alias("fingerprint"), as_hex(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), "near_next",
     )
+    return repeated_rows(out, "copies").drop(K1, K2)

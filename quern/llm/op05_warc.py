@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, work_folder
+from .common import K1, K2, cut, lookup, repeated_rows, row_keys, work_folder
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: Fixed values of the ZIP format: signatures of its headers, and the marks of a field that ZIP64 holds instead.
@@ -37,31 +37,35 @@ MANIFEST = "archive string, n_records long, n_bytes long"
 RECORDS = "record_id string, target_uri string, record_type string, payload_digest string, refers_to string, payload_bytes long, payload binary"
 
 
-def record_types(pages: DataFrame, key: Column, payload: Column, min_bytes: int = 0) -> DataFrame:
-    """key, digest (hex), record_type and refers_to of each row.
+def record_types(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """The records of rows (K1, K2, key, uri, digest as hex, n: payload bytes): those with record_type, refers_to and copies.
 
-    Of rows with equal payloads of at least min_bytes, the one with the largest key is the response and the others
-    revisit it; smaller payloads are all responses. One payload may have any share of the rows: the table of
-    payloads is gathered with partial sums, and hot ones are broadcast.
+    Of rows with equal payloads of at least min_bytes, one with the largest key (nulls least) is the response and all
+    others revisit it; smaller payloads are all responses. Rows of equal keys are one row here, as often as copies says. One
+    payload may have any share of the rows: the table of payloads is gathered with partial sums, and hot ones are broadcast.
     """
-    small = cut(pages.select(key.alias("key"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")))
-    owners = small.groupBy("digest").agg(F.max("key").alias("owner"), F.count("*").alias("copies"))
-    out = lookup(small, owners, ["digest"], ["owner"], "copies", small.count())
-    again = (F.col("n") >= min_bytes) & (F.col("key") != F.col("owner"))
-    return out.select("key", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("owner")).alias("refers_to"))
+    best = F.max(F.struct(F.col("key").isNotNull().alias("some"), "key", K1, K2)).alias("best")
+    owners = rows.groupBy("digest").agg(best, F.count("*").alias("copies"))
+    found = lookup(rows, owners, ["digest"], ["best"], "copies", rows.count())
+    deduped, own = F.col("n") >= min_bytes, (F.col(f"best.{K1}") == F.col(K1)) & (F.col(f"best.{K2}") == F.col(K2))
+    kinds = found.select(*rows.columns, deduped.alias("__d"), own.alias("__own"), F.col("best.key").alias("refers_to"))
+    named = kinds.groupBy(*rows.columns, "__d", "__own", "refers_to").agg(F.count("*").alias("copies"))
+    response = named.filter("__own or not __d").withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast(rows.schema["key"].dataType), "copies": F.when(F.col("__d"), 1).otherwise(F.col("copies"))})
+    revisit = named.withColumn("copies", F.when(F.col("__own"), F.col("copies") - 1).otherwise(F.col("copies"))).filter("__d and copies > 0").withColumn("record_type", F.lit("revisit"))
+    return response.unionByName(revisit).drop("__d", "__own")
 
 
 def base32_digest(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
-def record_bytes(record_id: str, uri: str, kind: str, digest: str, refers_to: str | None, payload: bytes) -> bytes:
-    """A WARC/1.1 record. A revisit holds the HTTP header alone, whose Content-Length is the full payload's."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record_bytes(record_id: str | None, uri: str, kind: str, digest: str, refers_to: str | None, payload: bytes, size: int | None = None) -> bytes:
+    """A WARC/1.1 record. A revisit holds the HTTP header alone, whose Content-Length is the full payload's: size, where no payload is given."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload) if size is None else size}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{record_id}>", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Target-URI: {' '.join(uri.split())}", f"WARC-Payload-Digest: sha1:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{record_id or ''}>", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Target-URI: {' '.join(uri.split())}", f"WARC-Payload-Digest: sha1:{digest}"]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to or ''}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -72,7 +76,7 @@ def parse_record(raw: bytes) -> dict:
     fields = _fields(head)
     block = rest[: int(fields["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    named = lambda k: fields[k][len("<urn:page:") : -1] if k in fields else None
+    named = lambda k: (fields[k][len("<urn:page:") : -1] or None) if k in fields else None
     kind = fields["warc-type"]
     return {
         "record_id": named("warc-record-id"), "target_uri": fields.get("warc-target-uri"), "record_type": kind,
@@ -177,9 +181,10 @@ def _wide(extra: bytes, *values: int) -> list[int]:
 
 
 def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write records (record_id, target_uri, record_type, digest as hex, refers_to, payload binary); the manifest comes back.
+    """Write records (record_id, target_uri, record_type, digest as hex, refers_to, size, payload binary); the manifest comes back.
 
-    A task begins a new archive when one has archive_bytes. Null uris and payloads are written as empty ones.
+    A task begins a new archive when one has archive_bytes. Null uris and payloads are written as empty ones; size is
+    the payload's, also where a revisit comes without it. A null id is written as an empty one and read as null.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +212,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
                     out, lines, records_ = store.open_output_stream(f"{root}/{name}"), [], 0
                     zipped = ZipWriter(out)
                     zipped.begin(DATA)
-                raw = record_bytes(r["record_id"], r["target_uri"] or "", r["record_type"], base32_digest(r["digest"]), r["refers_to"], r["payload"] or b"")
+                raw = record_bytes(r["record_id"], r["target_uri"] or "", r["record_type"], base32_digest(r["digest"]), r["refers_to"], r["payload"] or b"", r["size"])
                 packed = gzip.compress(raw, 3, mtime=0)
                 at, records_ = zipped.write(packed), records_ + 1
                 lines.append(f"{at} {len(packed)}\n")
@@ -266,13 +271,20 @@ def read_archives(manifest: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYT
 def package_pages(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Write pages (page_id, url, html; further columns are left out) as records; the manifest comes back.
 
-    A null html is an empty payload, a null url an empty one. page_id is unique and not null, or it is an error of
-    the caller's: a repeated id has its records written once for each pair of rows.
+    A record for each row. A null html is an empty payload, a null url an empty one. Of equal payloads the response is one
+    with the largest page_id; a page_id may be null (the least) or there several times: rows that share it are told apart
+    by url and html, and of wholly equal rows one counts as the first. Only responses take their payload along.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    kinds = record_types(pages, F.col("page_id"), payload, min_bytes)
-    rows = pages.select(F.col("page_id").alias("key"), F.col("url").alias("target_uri"), payload.alias("payload")).join(kinds, "key")
-    return write_archives(rows.select(F.col("key").cast("string").alias("record_id"), "target_uri", "record_type", "digest", F.col("refers_to").cast("string").alias("refers_to"), "payload"), folder)
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumns(row_keys(["page_id", "url", "payload"]))
+    small = cut(rows.select(K1, K2, F.col("page_id").alias("key"), F.col("url").alias("uri"), F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")))
+    kinds = cut(record_types(small, min_bytes))
+    columns = [F.col("key").cast("string").alias("record_id"), F.col("uri").alias("target_uri"), "record_type", "digest", F.col("refers_to").cast("string").alias("refers_to"), F.col("n").alias("size")]
+    bodies = rows.groupBy(K1, K2).agg(F.first("payload").alias("payload"))
+    responses = kinds.filter("record_type = 'response'").join(bodies.hint("merge"), [K1, K2])
+    revisits = kinds.filter("record_type = 'revisit'").withColumn("payload", F.lit(None).cast("binary"))
+    spread = repeated_rows(responses.unionByName(revisits).select(K1, K2, *columns, "payload", "copies"), "copies")
+    return write_archives(spread.drop(K1, K2), folder)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

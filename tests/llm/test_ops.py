@@ -250,12 +250,68 @@ def test_fingerprint(spark, docs, empty, small):
     for k, (i, t) in enumerate(rows):
         t, following = t or "", rows[k - 1][1] or ""
         n = len(t) // 3
-        assert both[i].edited == t[: len(t) - n] + following[:n] and both[i].next_id == rows[k - 1][0]
+        assert both[i].edited == t[: len(t) - n] + following[:n] and (both[i].copies, both[i].same) == (1, False)
         assert len(out[i].p) == (op04_fingerprint.BINS if (t.encode().split()) else 0)
     assert out[6].hex == out[7].hex != out[8].hex and len(out[6].hex) == 2 * op04_fingerprint.BINS
     assert op04_fingerprint.edited_texts(empty).count() == 0
-    one = op04_fingerprint.edited_texts(docs.filter("doc_id = 6").union(docs.filter("doc_id = 6"))).collect()
-    assert len(one) == 1 and one[0].next_id == 6
+
+
+def plain_fingerprint(text):
+    """One-permutation MinHash with optimal densification, bin by bin; hashes are the operator's."""
+    words = (text or "").encode().split()
+    runs = [words[i : i + 5] for i in range(len(words) - 4)] if len(words) >= 5 else [[b" ".join(words)]] if words else []
+    return [tuple(r) for r in dict.fromkeys(map(tuple, runs))]
+
+
+def test_fingerprint_against_plain_minhash(spark, docs):
+    """Bins filled one at a time: each the least hash that falls into it, empty ones from their first full donor."""
+    size, bins = op04_fingerprint._SHIFT, op04_fingerprint.BINS
+    rows = local(docs)
+    runs = [(i, [x.decode() for x in r]) for i, t in rows for r in plain_fingerprint(t)]
+    hashed = defaultdict(list)
+    five, fewer = [r for r in runs if len(r[1]) == 5], [r for r in runs if len(r[1]) != 5]
+    for some in (five, fewer):
+        df = spark.createDataFrame(some, "doc_id long, w array<string>")
+        n = len(some[0][1])
+        for r in df.select("doc_id", op04_fingerprint._hash(*[F.get("w", F.lit(j)) for j in range(n)]).alias("h")).collect():
+            hashed[r.doc_id].append(r.h)
+    pick = {(r.t, r.b): r.d for r in spark.range(bins).select(F.col("id").cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(op04_fingerprint.TRIES - 1))).alias("t")).select("t", "b", F.pmod(F.xxhash64("t", "b"), F.lit(bins)).alias("d")).collect()}
+    got = {r.doc_id: r.p for r in op04_fingerprint.fingerprint(docs.select("doc_id", "text"), "text", "p").collect()}
+    for i, _ in rows:
+        least = {}
+        for h in hashed[i]:
+            b = h >> size
+            least[b] = min(h, least.get(b, h))
+        if not least:
+            assert got[i] == []
+            continue
+        for b in range(bins):
+            donor = next((d for d in [b, *[pick[t, b] for t in range(op04_fingerprint.TRIES)]] if d in least), None)
+            if donor is not None:
+                assert got[i][b] == least[donor] & 255
+            else:
+                assert got[i][b] in {x & 255 for x in least.values()}
+
+
+def test_fingerprint_query_keeps_every_row(spark, tmp_path, monkeypatch):
+    from quern.llm import common
+
+    monkeypatch.setattr(common, "SPREAD", 2)
+    rows = [(7, "a b c d e f g"), (7, "x y z w v u t s"), (None, "n1 n2 n3 n4 n5"), (None, None), (3, "q r s t u v")] + [(5, "one two three four five six")] * 5 + [(None, "n1 n2 n3 n4 n5")] * 2
+    spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], DOCS + ", edited string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op04_fingerprint.op4_fingerprint(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t or "")) for i, t in rows)
+    # each text's edits and neighbours make one ring: as many edited texts as there are rows, each from one row's neighbour
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[i].append(t or "")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    edit = lambda t, f: t[: len(t) - len(t) // 3] + f[: len(t) // 3]
+    five = Counter(r.edited_sha256 for r in got if r.doc_id == 5)
+    t = groups[5][0]
+    assert five == Counter({sha(edit(t, t)): 4, sha(edit(t, groups[3][0])): 1})
+    assert sorted(r.near_next for r in got if r.doc_id == 5)[1:] == [1.0] * 4
+    assert [r.edited_sha256 for r in got if r.doc_id == 3][0] in {sha(edit(groups[3][0], f)) for f in groups[None]}
 
 
 def test_fingerprint_query_is_near_the_truth(spark, small, tmp_path):
@@ -332,6 +388,25 @@ def test_warc_round_trip(spark, least):
     assert op05_warc.read_archives(nothing, folder).count() == 0
 
 
+@pytest.mark.parametrize("least", [0, 3])
+def test_warc_of_repeated_and_null_ids(spark, monkeypatch, least):
+    from quern.llm import common
+
+    monkeypatch.setattr(common, "SPREAD", 2)
+    rows = [(1, "u", "same"), (1, "u", "same"), (1, "v", "same"), (None, "u", "same"), (9, "u", "top"), (9, "u", "top"), (9, "u", "top"), (None, None, None), (None, "a", ""), (4, "x", "ab"), (5, "x", "ab")]
+    folder = work_folder(spark)
+    got = op05_warc.read_archives(op05_warc.package_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, least), folder).collect()
+    assert Counter((r.record_id, r.target_uri, r.payload_bytes) for r in got) == Counter((None if i is None else str(i), u or "", len(h or "")) for i, u, h in rows)
+    for h, key in (("same", "1"), ("top", "9"), ("", None), ("ab", "5")):
+        mine = [r for r in got if r.payload_digest == base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()]
+        responses = [r for r in mine if r.record_type == "response"]
+        if len(h) >= least:
+            assert len(responses) == 1 and responses[0].record_id == key and bytes(responses[0].payload) == h.encode()
+            assert {r.refers_to for r in mine if r.record_type == "revisit"} == {key}
+        else:
+            assert len(responses) == len(mine)
+
+
 # 6
 
 
