@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of characters other than space and \t \n \v \f \r.
@@ -20,7 +20,7 @@ ROW = "__row"
 #: The columns of a row's content key.
 K1, K2 = "__k1", "__k2"
 
-#: So many copies of one row are made by a task.
+#: At most so many copies of one row are made by a task.
 SPREAD = 1000
 
 
@@ -56,20 +56,36 @@ def with_rows(df: DataFrame) -> DataFrame:
     return cut(df.withColumn(ROW, F.monotonically_increasing_id()))
 
 
-def row_keys(columns: list[str]) -> dict[str, Column]:
-    """K1 and K2, a 128-bit hash of a row's columns. Equal rows have equal keys wherever they lie, so no row numbers are needed."""
-    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+def row_keys(df: DataFrame) -> dict[str, Column]:
+    """K1 and K2, a 128-bit hash of a row of df. Equal rows have equal keys wherever they lie, so no row numbers are needed."""
+    plain = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in df.dtypes]
+    parts = [x for c in plain for x in (c.isNull(), c)]
     return {K1: F.xxhash64(F.lit(1), *parts), K2: F.xxhash64(F.lit(2), *parts)}
 
 
-def repeated_rows(df: DataFrame, copies: str) -> DataFrame:
-    """Each row as often as its column copies says, without that column, spread over tasks by SPREAD copies each."""
-    several = F.explode(F.sequence(F.lit(0), F.floor((F.col(copies) - 1) / SPREAD).cast("long")))
-    rest = F.least(F.lit(SPREAD).cast("long"), F.col(copies) - F.col("__part") * SPREAD)
-    once, more = df.filter(F.col(copies) == 1).drop(copies), df.filter(F.col(copies) > 1)
-    dealt = more.withColumn("__part", several).withColumn("__rest", rest)
-    dealt = dealt.repartition(*[F.col(c) for c in df.columns if c in (K1, K2)], "__part") if K1 in df.columns else dealt.repartition("__part")
-    return once.unionByName(dealt.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__rest")))).drop(copies, "__part", "__rest", "__copy"))
+def repeated_rows(df: DataFrame, copies: str, number: str | None = None) -> DataFrame:
+    """Each row as often as its column copies (1 or more) says, without that column; number counts the copies from 0.
+
+    df has K1 and K2. Rows of over SPREAD copies are dealt out first, so that no task makes more than SPREAD of one.
+    """
+    name, c, part = number or "__nth", F.col(copies).cast("long"), F.col("__part")
+    few = df.filter(c <= SPREAD).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), c - 1)))
+    many = df.filter(c > SPREAD).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((c - 1) / SPREAD)))).repartition(K1, K2, "__part")
+    many = many.withColumn(name, F.explode(F.sequence(part * SPREAD, F.least(c, (part + 1) * SPREAD) - 1))).drop("__part")
+    return few.unionByName(many).drop(copies, *([] if number else ["__nth"]))
+
+
+def numbered(df: DataFrame, order: list[Column], column: str) -> DataFrame:
+    """df with dense numbers from 0 in column; order must tell all rows apart. Of each partition its count alone meets the others'."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged = cut(df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()))
+    sizes, start, rows = sorted((r["__p"], r["count"]) for r in ranged.groupBy("__p").count().collect()), 0, []
+    for p, n in sizes:
+        rows.append((p, start))
+        start += n
+    table = df.sparkSession.createDataFrame(rows, "__p int, __start long")
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return ranged.withColumn("__place", place).join(F.broadcast(table), "__p").select(*df.columns, (F.col("__start") + F.col("__place") - 1).alias(column))
 
 
 def lookup(df: DataFrame, table: DataFrame, keys: list[str], values: list[str], weight: str, total: int) -> DataFrame:

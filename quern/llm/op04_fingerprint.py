@@ -96,7 +96,7 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     once, by their keys; what travels besides is the beginnings alone.
     """
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = whole.withColumns(row_keys(["doc_id", "text"]))
+    keyed = whole.withColumns(row_keys(whole))
     once = keyed.groupBy(K1, K2).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
     ids = keyed.groupBy(K1, K2).agg(F.first("doc_id").alias("doc_id"), F.first(F.length("text")).alias("n_chars"), F.count("*").alias("n"))
     order = cut(following_rows(ids))

@@ -276,7 +276,8 @@ def package_pages(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFram
     by url and html, and of wholly equal rows one counts as the first. Only responses take their payload along.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumns(row_keys(["page_id", "url", "payload"]))
+    rows = pages.select("page_id", "url", payload.alias("payload"))
+    rows = rows.withColumns(row_keys(rows))
     small = cut(rows.select(K1, K2, F.col("page_id").alias("key"), F.col("url").alias("uri"), F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")))
     kinds = cut(record_types(small, min_bytes))
     columns = [F.col("key").cast("string").alias("record_id"), F.col("uri").alias("target_uri"), "record_type", "digest", F.col("refers_to").cast("string").alias("refers_to"), F.col("n").alias("size")]

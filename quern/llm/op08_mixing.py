@@ -7,10 +7,12 @@ on with the next. So a source's expected words and documents are met but for the
 
 Groups are blocks of about BLOCK documents of one source, so a source of any share of the rows is worked on by many
 tasks. A block decides its longest documents first and leaves its OPEN shortest to the next level, with the two that
-the flight left open, and so on until one block a source is left; its last documents are the landing problem, settled
-by the rounding that is nearest in words and documents, in the best of TRIALS draws of this last, small block.
-Draws are seeded by source, level and block, and blocks are hashes of doc_id: reruns agree. Rows without doc_id are dealt by
-their row number instead.
+the flight left open, and so on until one block a source is left; its last documents are the landing problem: the
+rounding that is nearest in words and documents, in the best of TRIALS draws of this last, small block, and then single
+documents of it turned over as long as that brings words and documents nearer still.
+Draws are seeded by source, level and block, and blocks are hashes of the rows' contents: reruns agree. Rows that are equal
+in all columns are one with a number of copies; each copy is decided by itself. Sources are a table, never a list of
+the driver's, so there may be any number of them.
 """
 
 from __future__ import annotations
@@ -23,43 +25,36 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, cut, with_rows
+from .common import K1, K2, cut, lookup, numbered, repeated_rows, row_keys
 from .op04_fingerprint import words_of
 
 BLOCK, OPEN, TRIALS = 1000, 10, 12
-SOURCES = 100_000
 SHARE, MOST = 1.5, 2.0
 WEIGHTS = [5.0, 2.0, 1.0]
-NEAR, NEAR_WORDS = 1e-9, 0.005
-
-
-def fill_targets(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
-    """total shared by weight; a target stops at most times its size and the excess is shared again among the others."""
-    targets, open_ = [0.0] * len(sizes), set(range(len(sizes)))
-    left = total
-    while open_:
-        share = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] / share > most * sizes[i]]
-        if not full:
-            for i in open_:
-                targets[i] = left * weights[i] / share
-            break
-        for i in full:
-            targets[i] = most * sizes[i]
-        left -= sum(targets[i] for i in full)
-        open_ -= set(full)
-    return targets
+NEAR = 1e-9
+_SOURCE = ["__none", "__source"]
+
 
+def targets_of(sized: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
+    """(_SOURCE, n, words, target) for each source of sized (_SOURCE, size, copies), weighed in turn by code point, null last.
 
-def targets_of(sized: DataFrame, weights: list[float], share: float, most: float) -> list[tuple[str | None, int, int, float]]:
-    """(source, documents, words, target) for each source, by code point, null last; at most SOURCES of them."""
-    rows = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words")).limit(SOURCES + 1).collect()
-    if len(rows) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
-    rows.sort(key=lambda r: (r.source is None, r.source or ""))
-    sizes = [r.words for r in rows]
-    targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], share * sum(sizes), most)
-    return [(r.source, r.n, r.words, t) for r, t in zip(rows, targets, strict=True)]
+    share times all words is dealt by weight; a target stops at most times its source's words, and the excess is dealt
+    again among the others until none is above. What is dealt to a weight of 1 grows with each round, so a round is one
+    sum over the sources that are full at it.
+    """
+    sums = sized.groupBy(*_SOURCE).agg(F.sum("copies").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("words"))
+    places = numbered(sums, [F.col(c) for c in _SOURCE], "place")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    sources = cut(places.select(*_SOURCE, "n", "words", weight.alias("weight")))
+    top, total = F.lit(most) * F.col("words"), share * (sources.agg(F.sum("words")).first()[0] or 0)
+    unit, full, closed = 0.0, F.lit(False), -1
+    while True:
+        r = sources.agg(F.count(F.when(full, 1)).alias("closed"), F.coalesce(F.sum(F.when(full, top)), F.lit(0.0)).alias("held"), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)).alias("open")).first()
+        if r.closed == closed or not r.open:
+            break
+        closed, unit = r.closed, (total - r.held) / r.open
+        full = F.lit(unit) * F.col("weight") > top
+    return sources.select(*_SOURCE, "n", "words", F.when(full, top).otherwise(F.lit(unit) * F.col("weight")).alias("target"))
 
 
 def flight(p: list[float], size: list[int], rng: random.Random) -> list[float]:
@@ -97,45 +92,43 @@ def land(p: list[float], size: list[int]) -> list[float]:
     return out
 
 
-def repair(p: list[float], size: list[int], want: float, most: int = 20) -> list[float]:
-    """Where a few very long documents keep a landing off by more than NEAR_WORDS: flips that bring the words nearer, the best first."""
-    out = list(p)
-    over = sum(x * n for x, n in zip(out, size, strict=True)) - want
-    for _ in range(most):
-        i = min(range(len(out)), key=lambda k: abs(over + (size[k] if out[k] == 0 else -size[k])))
-        moved = over + (size[i] if out[i] == 0 else -size[i])
-        if abs(moved) >= abs(over):
+def settle(p: list[float], size: list[int], words: float, many: float) -> list[float]:
+    """A landed sample with single documents turned over, the best first, as long as words (in mean sizes) and documents come nearer."""
+    out, mean = list(p), max(sum(size) / max(len(size), 1), 1e-9)
+    over, extra = sum(x * n for x, n in zip(out, size, strict=True)) - words, sum(out) - many
+    far = lambda a, b: abs(a) / mean + abs(b) / 20
+    turn = lambda k: (1 if out[k] == 0 else -1)
+    while out:
+        i = min(range(len(out)), key=lambda k: far(over + turn(k) * size[k], extra + turn(k)))
+        after = over + turn(i) * size[i], extra + turn(i)
+        if far(*after) >= far(over, extra) - NEAR:
             break
-        out[i], over = 1 - out[i], moved
+        out[i] = 1 - out[i]
+        over, extra = after
     return out
 
 
-def mix(docs: DataFrame, weights: list[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) of each row of docs (doc_id, text, source).
-
-    Null texts have no words; documents of size 0 are never taken. The null source is one source, the last. Repeated
-    rows are rows of their own, and so are rows without doc_id. An empty table gives an empty one.
-    """
-    return _mix_rows(docs.withColumn(ROW, F.monotonically_increasing_id()), weights, share, most).drop(ROW)
-
-
-def _mix_rows(docs: DataFrame, weights: list[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """mix() of docs with ROW, which stays."""
+def _mixed_rows(docs: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
+    """(K1, K2, doc_id, source, size, source_size, target, copies): each row of docs (doc_id, text, source), by its content key."""
+    nothing = F.col("source").isNull().alias(_SOURCE[0]), F.coalesce("source", F.lit("")).alias(_SOURCE[1])
     # doc_id is without nulls on the way: pandas would turn it into floats
     some_id, no_id = F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("__no_id")
-    sized = cut(docs.select(some_id, no_id, ROW, "source", F.size(words_of(F.col("text"))).cast("long").alias("size")))
-    spark, sources = docs.sparkSession, targets_of(sized, weights, share, most)
-    table = spark.createDataFrame([(s, n, words, t, (t / words if words else 0.0)) for s, n, words, t in sources], "source string, n long, source_size long, target double, ratio double")
-    rows = sized.withColumnRenamed("source", "__s").join(F.broadcast(table), F.col("__s").eqNullSafe(F.col("source"))).drop("__s")
-    rows = rows.withColumns({"base": F.floor("ratio").cast("int"), "p": F.when(F.col("size") > 0, F.col("ratio") - F.floor("ratio")).otherwise(0.0)})
-    rows = rows.withColumn("p", F.when(F.col("p") < NEAR, 0.0).when(F.col("p") > 1 - NEAR, 1.0).otherwise(F.col("p")))
-    done = [rows.filter("p = 0 or p = 1").drop("n", "ratio")]
-    left, most_rows = rows.filter("p > 0 and p < 1").drop("ratio"), max([n for _, n, _, _ in sources], default=0)
-    level, blocks = 0, F.ceil(F.col("n") / BLOCK)
+    keyed = docs.select(some_id, no_id, *nothing, F.size(words_of(F.col("text"))).cast("long").alias("size"), *[c.alias(k) for k, c in row_keys(docs).items()])
+    columns = keyed.columns
+    sized = cut(keyed.groupBy(*columns).agg(F.count("*").alias("copies")))
+    sources = cut(targets_of(sized, weights, share, most))
+    ends = sources.agg(F.max("n").alias("most"), F.sum("n").alias("total")).first()
+    most_rows, total = ends.most or 0, ends.total or 0
+    placed = lookup(repeated_rows(sized, "copies", "__nth"), sources, _SOURCE, ["n", "words", "target"], "n", total).withColumnRenamed("words", "source_size")
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rows = placed.withColumn("ratio", ratio).withColumns({"base": F.floor("ratio").cast("int"), "p": F.when(F.col("size") > 0, F.col("ratio") - F.floor("ratio")).otherwise(0.0)})
+    rows = cut(rows.withColumn("p", F.when(F.col("p") < NEAR, 0.0).when(F.col("p") > 1 - NEAR, 1.0).otherwise(F.col("p"))).drop("ratio"))
+    done, left, level = [rows.filter("p = 0 or p = 1").drop("n")], rows.filter("p > 0 and p < 1"), 0
     while True:
         last = most_rows <= BLOCK
-        keyed = left.withColumn("block", F.pmod(F.xxhash64(F.lit(level), F.when(F.col("__no_id"), F.col(ROW)).otherwise(F.col("doc_id"))), F.lit(1) if last else F.greatest(blocks, F.lit(1))))
-        flown = cut(keyed.groupBy("source", "block").applyInPandas(_flier(level, last), keyed.drop("block").schema))
+        blocks = F.lit(1) if last else F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1))
+        keyed = left.withColumn("block", F.pmod(F.xxhash64(F.lit(level), K1, K2, "__nth"), blocks))
+        flown = cut(keyed.groupBy(*_SOURCE, "block").applyInPandas(_flier(level, last), keyed.drop("block").schema))
         done.append(flown.filter("p = 0 or p = 1").drop("n"))
         if last:
             break
@@ -145,15 +138,15 @@ def _mix_rows(docs: DataFrame, weights: list[float] = WEIGHTS, share: float = SH
     for d in done[1:]:
         out = out.unionByName(d)
     copies = F.when(F.col("size") > 0, F.col("base") + F.col("p").cast("int")).otherwise(0)
-    return out.select(F.when(~F.col("__no_id"), F.col("doc_id")).alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), ROW)
+    return out.select(K1, K2, F.when(~F.col("__no_id"), F.col("doc_id")).alias("doc_id"), F.when(~F.col(_SOURCE[0]), F.col(_SOURCE[1])).alias("source"), "size", "source_size", "target", copies.alias("copies"))
 
 
 def _flier(level: int, last: bool):
     def fly(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        seed = int.from_bytes(hashlib.sha256(f"{key[0]}|{level}|{key[1]}".encode()).digest()[:8], "big")
-        pdf = pdf.sort_values(["__no_id", "doc_id", "size", ROW], kind="stable").reset_index(drop=True)
+        seed = int.from_bytes(hashlib.sha256("|".join(map(str, (key[0], key[1], level, key[2]))).encode()).digest()[:8], "big")
+        pdf = pdf.sort_values([K1, K2, "__nth"], kind="stable").reset_index(drop=True)
         p, size = pdf["p"].tolist(), pdf["size"].tolist()
-        best = None
+        words, best = sum(x * n for x, n in zip(p, size, strict=True)), None
         for trial in range(TRIALS if last else 1):
             rng = random.Random(seed + trial)
             order = sorted(range(len(pdf)), key=lambda i: (-size[i], rng.random()))
@@ -161,12 +154,12 @@ def _flier(level: int, last: bool):
             out = flight([p[i] for i in order[:cut_at]], sizes[:cut_at], rng) + [p[i] for i in order[cut_at:]]
             if last:
                 out = land(out, sizes)
-            error = abs(sum(x * n for x, n in zip(out, sizes, strict=True)) - sum(x * n for x, n in zip(p, size, strict=True)))
+            error = abs(sum(x * n for x, n in zip(out, sizes, strict=True)) - words)
             if best is None or error < best[0]:
                 best = error, order, out
-        error, order, out = best
-        if last and error > NEAR_WORDS * sum(x * n for x, n in zip(p, size, strict=True)):
-            out = repair(out, [size[i] for i in order], sum(x * n for x, n in zip(p, size, strict=True)))
+        _, order, out = best
+        if last:
+            out = settle(out, [size[i] for i in order], words, sum(p))
         back = [0.0] * len(order)
         for i, x in zip(order, out, strict=True):
             back[i] = x
@@ -175,11 +168,24 @@ def _flier(level: int, last: bool):
     return fly
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: docs without what is not taken, and with what is taken twice twice. Each row has copies of its own."""
-    rows = with_rows(docs)
-    copies = _mix_rows(rows, **options).filter("copies > 0").select(ROW, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy"))
-    return rows.join(copies.hint("merge"), ROW).select(*docs.columns)
+def mix(docs: DataFrame, weights: list[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) of each row of docs (doc_id, text, source).
+
+    Null texts have no words; documents of size 0 are never taken. The null source is one source, the last. Repeated
+    rows are rows of their own, and so are rows without doc_id. Draws depend on all columns of docs. An empty table gives
+    an empty one.
+    """
+    return _mixed_rows(docs, weights, share, most).drop(K1, K2)
+
+
+def mixed_documents(docs: DataFrame, weights: list[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The mix itself: docs without what is not taken, and with what is taken twice twice. Rows that are equal in all columns share their copies."""
+    copies = cut(_mixed_rows(docs, weights, share, most).groupBy(K1, K2).agg(F.sum("copies").alias("copies")).filter("copies > 0"))
+    named = [F.col(c).alias(f"__c{i}") for i, c in enumerate(docs.columns)]
+    keyed = docs.select(*named, *[c.alias(k) for k, c in row_keys(docs).items()])
+    rows = keyed.groupBy(K1, K2).agg(*[F.first(f"__c{i}").alias(f"__c{i}") for i in range(len(named))])
+    out = repeated_rows(rows.join(copies.withColumnRenamed("copies", "__copies").hint("merge"), [K1, K2]), "__copies")
+    return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

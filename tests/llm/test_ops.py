@@ -487,10 +487,83 @@ def test_anchors_in_pieces(monkeypatch):
 # 8
 
 
-def test_targets():
-    assert op08_mixing.fill_targets([10, 10, 10], [5, 2, 1], 45, 2) == [20, pytest.approx(50 / 3), pytest.approx(25 / 3)]
-    assert op08_mixing.fill_targets([0, 4], [5, 2], 6, 2) == [0, 6]
-    assert op08_mixing.fill_targets([], [], 0, 2) == []
+def fill_targets(sizes, weights, total, most):
+    """total shared by weight; a target stops at most times its size and the excess is shared again among the others."""
+    targets, open_, left = [0.0] * len(sizes), set(range(len(sizes))), total
+    while open_:
+        share = sum(weights[i] for i in open_)
+        full = [i for i in open_ if left * weights[i] / share > most * sizes[i]]
+        for i in full or open_:
+            targets[i] = most * sizes[i] if full else left * weights[i] / share
+        left -= sum(targets[i] for i in full)
+        open_ = open_ - set(full) if full else set()
+    return targets
+
+
+def test_plain_targets():
+    assert fill_targets([10, 10, 10], [5, 2, 1], 45, 2) == [20, pytest.approx(50 / 3), pytest.approx(25 / 3)]
+    assert fill_targets([0, 4], [5, 2], 6, 2) == [0, 6]
+    assert fill_targets([], [], 0, 2) == []
+
+
+@pytest.mark.parametrize("sizes", [[10, 10, 10], [0, 4], [], [0, 0], [1, 1000, 3, 7, 90, 2, 2, 5000, 11, 60]])
+def test_targets(spark, sizes):
+    rows = [(i == len(sizes) - 1, "" if i == len(sizes) - 1 else f"s{i:03}", n, 1) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "__none boolean, __source string, size long, copies long").repartition(3)
+    got = [r.target for r in op08_mixing.targets_of(df, [5, 2, 1], 1.5, 2).orderBy("__none", "__source").collect()]
+    assert got == pytest.approx(fill_targets(sizes, [[5, 2, 1][i % 3] for i in range(len(sizes))], 1.5 * sum(sizes), 2))
+
+
+def test_many_sources(spark):
+    """More sources than any list of the driver's should hold stay within their targets."""
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.array_join(F.array_repeat(F.lit("w"), (F.col("id") % 5 + 1).cast("int")), " ").alias("text"), F.concat(F.lit("s"), F.floor(F.col("id") / 2).cast("string")).alias("source"))
+    out = op08_mixing.mix(df).cache()
+    assert out.count() == 6000 and out.select("source").distinct().count() == 3000
+    r = out.agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("copies").alias("most")).first()
+    want = out.groupBy("source").agg(F.first("target").alias("t")).agg(F.sum("t")).first()[0]
+    assert r.most <= 2 and abs(r.taken - want) < 0.05 * want
+
+
+def plain_cube(p, size, rng):
+    """The cube method with linear algebra: a step along a null-space vector of the balancing rows until no three are open."""
+    p = np.array(p, float)
+    while True:
+        open_ = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))[:3]
+        if len(open_) < 3:
+            return p
+        u = np.linalg.svd(np.array([np.ones(3), np.array(size, float)[open_]]))[2][-1]
+        q = p[open_]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.min(np.where(u > 1e-12, (1 - q) / u, np.where(u < -1e-12, q / -u, np.inf)))
+            down = np.min(np.where(u > 1e-12, q / u, np.where(u < -1e-12, (1 - q) / -u, np.inf)))
+        p[open_] = np.clip(q + (up if rng.random() * (up + down) < down else -down) * u, 0, 1)
+
+
+def test_flight_against_plain_cube():
+    """Both keep words and documents, open at most two, and take each document as often as its probability says."""
+    size, p = [3, 1, 4, 1, 5, 9, 2, 6], [0.3, 0.5, 0.2, 0.7, 0.4, 0.6, 0.1, 0.2]
+    mean = {}
+    for name, fly in (("own", op08_mixing.flight), ("plain", plain_cube)):
+        total = np.zeros(8)
+        for k in range(2500):
+            out = np.array(fly(p, size, random.Random(k)))
+            assert out.sum() == pytest.approx(sum(p)) and out @ size == pytest.approx(np.dot(p, size)) and ((out > 1e-9) & (out < 1 - 1e-9)).sum() <= 2
+            total += out
+        mean[name] = total / 2500
+    assert (abs(mean["own"] - p) < 0.04).all() and (abs(mean["own"] - mean["plain"]) < 0.05).all()
+
+
+def test_landing_by_all_roundings():
+    rng = random.Random(7)
+    for _ in range(20):
+        size = [rng.randrange(1, 50) for _ in range(7)]
+        p = [rng.random() for _ in size]
+        words, many, mean = np.dot(p, size), sum(p), sum(size) / 7
+        far = lambda s, size=size, words=words, many=many, mean=mean: abs(np.dot(s, size) - words) / mean + abs(sum(s) - many) / 20
+        best = min(far(s) for s in __import__("itertools").product((0, 1), repeat=7))
+        landed = op08_mixing.land(p, size)
+        assert far(landed) == pytest.approx(best)
+        assert far(op08_mixing.settle([0.0] * 7, size, words, many)) <= far([0.0] * 7)
 
 
 def test_flight_keeps_words_and_documents():
@@ -521,7 +594,7 @@ def test_mix(spark, docs, empty, monkeypatch):
         taken[r.source] += r.size * r.copies
         target[r.source] = r.target
         assert 0 <= r.copies <= 2
-    want = op08_mixing.fill_targets([size[s] for s in ("a", "b", "z", None)], [5, 2, 1, 5], 1.5 * sum(size.values()), 2)
+    want = fill_targets([size[s] for s in ("a", "b", "z", None)], [5, 2, 1, 5], 1.5 * sum(size.values()), 2)
     for s, t in zip(("a", "b", "z", None), want, strict=True):
         assert target[s] == pytest.approx(t) and taken[s] == pytest.approx(t, rel=0.01)
     copies = Counter(r.doc_id for r in op08_mixing.mixed_documents(df).collect())
