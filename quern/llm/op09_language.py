@@ -2,10 +2,10 @@
 
 Features are counts of hashed letter 1-, 2- and 3-grams of the whole lower-cased text, with what is no letter as
 a space, log-scaled and of unit length. Families are a fixed table; a language that is not in it is a family of its own.
-The models are fitted on the driver on at most SAMPLE labelled texts a language, chosen by a hash of doc_id, and at
-most LANGUAGES languages, the most frequent: a bound of SAMPLE * LANGUAGES vectors whatever the corpus holds. Texts of any
-further language get the name of one of these. Prediction is one pass
-over the documents without a shuffle and sees nothing but the text.
+The models are fitted on the driver, on labelled texts that a hash of doc_id chooses: at most SAMPLE a language in
+expectation, and fewer where there are so many languages that these would be over TOTAL; but every language has a text
+or two, so none is left out. TOTAL vectors are some 65 MB. Prediction is one pass over the documents without a shuffle
+and sees nothing but the text.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAMPLE, LANGUAGES, DIMS = 500, 200, 2048
+from .common import cut
+
+SAMPLE, TOTAL, DIMS = 500, 8000, 2048
 CHUNK = 1 << 20
 
 #: Languages of the usual families, by ISO 639-1 code.
@@ -112,34 +114,39 @@ class Model:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     letters = letter_table()
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t.as_py(), letters).tobytes() for t in batch.column(1)], pa.binary())], ["lang", "v"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([features(t.as_py(), letters).tobytes() for t in batch.column(1)], pa.binary())], ["lang", "draw", "v"])
+
 
+def fit(labelled: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> Model | None:
+    """A model from labelled (doc_id, text, lang) of all its languages; None if it has no labelled text with a letter.
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model | None:
-    """A model from labelled (doc_id, text, lang); None if it has no labelled text with a letter."""
+    A language of n texts gives each of them with probability quota / n, quota being the sample or what total leaves for
+    it, and besides the one with the least hash, so that every language is learned. Repeated rows are as likely
+    as their number says. Rows without doc_id are drawn by their text.
+    """
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
-    if not counts:
+    draw = F.xxhash64(F.lit("language sample"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"))).alias("draw")
+    counts = cut(usable.select("lang", draw).groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("first")))
+    languages = counts.count()
+    if not languages:
         return None
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, min(1.0, sample / n)).otherwise(rate)
-    drawn = usable.filter(draw < rate).select("lang", "text").limit(2 * sample * len(counts))
-    rows = sorted((r.lang, bytes(r.v)) for r in drawn.mapInArrow(_vectors, "lang string, v binary").collect())
+    quota = min(sample, max(total // languages, 1))
+    drawn = usable.select("lang", "text", draw).join(counts, "lang")
+    share = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30)
+    drawn = drawn.filter((F.col("draw") == F.col("first")) | (share < quota / F.col("n"))).select("lang", "text", "draw")
+    rows = sorted((r.lang, r.draw, bytes(r.v)) for r in drawn.mapInArrow(_vectors, "lang string, draw long, v binary").collect())
     kept: dict[str, list[bytes]] = {}
-    for lang, v in rows:
+    for lang, _, v in rows:
         kept.setdefault(lang, []).append(v)
-    pairs = [(lang, v) for lang, vs in kept.items() for v in vs[: 2 * sample]]
-    if not pairs:
-        return None
+    pairs = [(lang, v) for lang, vs in kept.items() for v in vs[: 2 * quota]]
     return Model(np.frombuffer(b"".join(v for _, v in pairs), np.float32).reshape(len(pairs), DIMS), [lang for lang, _ in pairs])
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", keep_text: bool = False) -> DataFrame:
     """docs with lang_pred and score, and with their text only if keep_text; columns of these names are replaced.
 
-    A null text, one without a letter and any text under a model of None is 'und' with score 0.
+    A null text, one without a letter and any text under a model of None is 'und' with score 0. Rows are judged one by one, so
+    repeated ones alike; an empty table stays empty.
     """
     others = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     source = docs.select(*others, text)
