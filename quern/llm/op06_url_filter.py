@@ -8,7 +8,8 @@ the first level that misses it has an even number. That is exact for each key of
 the levels' bits are literals in the expression.
 
 Sizes: level 1 has a false-positive rate of about listed / universe, so level 2 encodes about as many keys as are listed,
-and the cascade grows with the rules, not with the corpus. The build refuses more than max_keys on either side.
+and the cascade grows with the rules, not with the corpus: some 3 bytes a listed key at a universe of a million times
+as many. Keys stay in tables; the driver sees the bits alone, and each level is one binary literal.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MAX_KEYS = 200_000
-LEVELS = 64
+from .common import cut
+
+#: Bits are gathered in rows of so many bytes.
+ROW_BYTES = 64
 
 #: The production rules: host, path, verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -62,15 +64,20 @@ def _longest_first(a: Column, b: Column) -> Column:
 
 @dataclass(frozen=True)
 class Level:
-    """Bits of one Bloom filter, 32 to a word, and its number of hashes."""
+    """Bits of one Bloom filter, its number of hashes and their seed."""
 
-    words: list[int]
+    bits: bytes
     hashes: int
     seed: int
 
     def takes(self, key: Column) -> Column:
-        bits, words = 32 * len(self.words), F.array(*[F.lit(w).cast("long") for w in self.words])
-        hits = [F.call_function("shiftright", F.get(words, F.shiftright(b, 5).cast("int")), (b % 32).cast("int")).bitwiseAND(F.lit(1)) == 1 for b in _bits(key, self.hashes, self.seed, bits)]
+        literal = F.lit(bytearray(self.bits))
+
+        def hit(b: Column) -> Column:
+            byte = F.conv(F.hex(F.substring(literal, (F.shiftright(b, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            return F.call_function("bit_get", byte, b.bitwiseAND(F.lit(7)).cast("int")) == 1
+
+        hits = [hit(b) for b in _bits(key, self.hashes, self.seed, 8 * len(self.bits))]
         out = hits[0]
         for h in hits[1:]:
             out = out & h
@@ -82,49 +89,40 @@ def _bits(key: Column, hashes: int, seed: int, bits: int) -> list[Column]:
 
 
 def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
-    """A filter for the n keys; its words are gathered by bit_or, at most n * 1.44 * log2(1 / rate) / 32 rows."""
-    words = max(1, math.ceil(n * math.log2(1 / rate) / math.log(2) / 32))
+    """A filter for the n keys. Bits are or-ed in rows of ROW_BYTES, eight longs each, before they come to the driver."""
+    rows = max(1, math.ceil(n * math.log2(1 / rate) / math.log(2) / (8 * ROW_BYTES)))
     hashes = max(1, round(math.log2(1 / rate)))
-    set_bits = keys.select(F.explode(F.array(*_bits(F.col("key"), hashes, seed, 32 * words))).alias("b"))
-    rows = set_bits.groupBy(F.shiftright("b", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("v")).collect()
-    found = {r.w: r.v for r in rows}
-    return Level([found.get(i, 0) for i in range(words)], hashes, seed)
+    set_bits = keys.select(F.explode(F.array(*_bits(F.col("key"), hashes, seed, 8 * ROW_BYTES * rows))).alias("b"))
+    word, one = F.pmod(F.shiftright("b", 6), F.lit(ROW_BYTES // 8)), F.expr("shiftleft(1L, cast(b & 63 as int))")
+    found = set_bits.groupBy(F.floor(F.col("b") / (8 * ROW_BYTES)).alias("at")).agg(*[F.bit_or(F.when(word == w, one).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(ROW_BYTES // 8)])
+    out = bytearray(ROW_BYTES * rows)
+    for r in found.toLocalIterator():
+        out[ROW_BYTES * r["at"] : ROW_BYTES * (r["at"] + 1)] = b"".join((r[f"w{w}"] & (2**64 - 1)).to_bytes(8, "little") for w in range(ROW_BYTES // 8))
+    return Level(bytes(out), hashes, seed)
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 0, max_keys: int = MAX_KEYS) -> list[Level]:
+def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 0) -> list[Level]:
     """Levels for listed (key) that are exact on universe (key). An empty list has no levels."""
-    listed = listed.select("key").distinct()
-    n = listed.limit(max_keys + 1).count()
-    if n > max_keys:
-        raise ValueError(f"more than {max_keys} listed keys: split the list by host and build one cascade a part")
+    listed = cut(listed.filter("key is not null").select("key").distinct())
+    n = listed.count()
     if not n:
         return []
     size = universe.agg(F.approx_count_distinct("key")).first()[0]
     first = _level(listed, n, min(0.5, n / (max(size, n) * math.sqrt(2))), seed)
     wrong = universe.filter(first.takes(F.col("key"))).select("key").distinct().join(listed, "key", "left_anti")
-    levels, sides = [first], [_bounded(wrong, max_keys), _bounded(listed, max_keys)]
-    while sides[0].count():
-        if len(levels) == LEVELS:
-            raise ValueError("the cascade does not end; its keys' hashes collide")
-        level = _level(sides[0], sides[0].count(), 0.5, seed + len(levels))
+    levels, inside, outside = [first], listed, cut(wrong)
+    while left := outside.count():
+        level = _level(outside, left, 0.5, seed + len(levels))
         levels.append(level)
-        sides = [_bounded(sides[1].filter(level.takes(F.col("key"))), max_keys), sides[0]]
+        inside, outside = outside, cut(inside.filter(level.takes(F.col("key"))))
     return levels
 
 
-def _bounded(keys: DataFrame, max_keys: int) -> DataFrame:
-    """The few keys that are left, as a table of the driver's."""
-    rows = keys.limit(max_keys + 1).collect()
-    if len(rows) > max_keys:
-        raise ValueError(f"a level would encode more than {max_keys} keys")
-    return keys.sparkSession.createDataFrame([Row(key=r.key) for r in rows], T.StructType([T.StructField("key", T.StringType())]))
-
-
 def listed(levels: list[Level], key: Column) -> Column:
     """Whether the cascade lists the key: exact for keys of its universe."""
     out = F.lit(len(levels) % 2 == 1)
     for i in reversed(range(len(levels))):
-        out = F.when(~levels[i].takes(key), F.lit(i % 2 == 1)).otherwise(out)
+        out = F.when(levels[i].takes(key), out).otherwise(F.lit(i % 2 == 1))
     return out
 
 
@@ -133,16 +131,18 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame,
 
     Null urls and urls without :// have an empty host and path and get the default, as do urls that no rule fits. The
     longest fitting rule wins; of equally long ones that with the longer host. Repeated rows are judged alike, an
-    empty table stays empty. A rule listed both as block and as allow blocks.
+    empty table stays empty. A rule listed both as block and as allow blocks. Rules with a null part are left out. The
+    corpus's keys are written once, distinct, and serve all levels of both lists.
     """
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame(rules, "host string, path string, verdict string")
+    rules = rules.filter("host is not null and path is not null and verdict is not null")
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
     keyed = rules.select(F.concat("host", "path").alias("key"), "verdict")
     out = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     asks = candidate_keys(F.col("host"), F.col("path"), lengths or [0])
-    universe = out.select(F.explode(asks).alias("key"))
+    universe = cut(out.select(F.explode(asks).alias("key")).distinct())
     blocks = build_cascade(keyed.filter("verdict = 'block'"), universe, 1)
     allows = build_cascade(keyed.filter("verdict = 'allow'"), universe, 1001)
     fits = F.filter(asks, lambda k: listed(blocks, k) | listed(allows, k))
