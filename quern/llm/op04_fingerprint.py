@@ -97,11 +97,12 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     """
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = whole.withColumns(row_keys(whole))
-    once = keyed.groupBy(K1, K2).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    # its two uses ask for the same columns, so that they share one shuffle
+    once = keyed.groupBy(K1, K2).agg(F.first("text").alias("text"))
     ids = keyed.groupBy(K1, K2).agg(F.first("doc_id").alias("doc_id"), F.first(F.length("text")).alias("n_chars"), F.count("*").alias("n"))
     order = cut(following_rows(ids))
-    wanted = order.select(F.col(K1).alias("__o1"), F.col(K2).alias("__o2"), F.floor(F.col("n_chars") / 3).cast("int").alias("take"), "n", F.col("n1").alias(K1), F.col("n2").alias(K2))
-    heads = wanted.join(once, [K1, K2]).select(F.col("__o1"), F.col("__o2"), F.col(K1).alias("n1"), F.col(K2).alias("n2"), "n", "take", F.substr("text", F.lit(1), F.col("take")).alias("head"))
+    wanted = order.select("doc_id", F.col(K1).alias("__o1"), F.col(K2).alias("__o2"), F.floor(F.col("n_chars") / 3).cast("int").alias("take"), "n", F.col("n1").alias(K1), F.col("n2").alias(K2))
+    heads = wanted.join(once, [K1, K2]).select("doc_id", F.col("__o1"), F.col("__o2"), F.col(K1).alias("n1"), F.col(K2).alias("n2"), "n", "take", F.substr("text", F.lit(1), F.col("take")).alias("head"))
     both = once.join(heads.withColumnsRenamed({"__o1": K1, "__o2": K2}), [K1, K2])
     last = F.struct(F.lit(False).alias("same"), F.lit(1).cast("long").alias("copies"))
     before = F.struct(F.lit(True).alias("same"), (F.col("n") - 1).alias("copies"))
