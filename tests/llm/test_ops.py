@@ -154,24 +154,49 @@ def test_line_dedup_against_sql(spark, docs, small, empty):
     assert op02_line_dedup.dedup_lines(empty).count() == 0
 
 
-@pytest.mark.parametrize("min_lines, min_words", [(1, 1), (2, 3), (4, 1), (5, 6)])
-def test_line_dedup_by_brute_force(spark, min_lines, min_words):
-    rng = random.Random(min_lines)
-    rows = [(i, "\n".join(rng.choice(["a", "b b", "c c c", "d", ""]) for _ in range(rng.randrange(12)))) for i in range(60)]
+def brute_lines(rows, min_words):
+    """rows (key in order, text) without each line that lies in a run of min_words words which begins earlier too."""
+    seen, gone = set(), defaultdict(set)
     lines = {i: t.split("\n") for i, t in rows}
-    seen, want = {1: set(), min_lines: set()}, {}
-    gone = defaultdict(set)
-    for i in sorted(lines):
-        for at in range(len(lines[i])):
-            for depth in seen:
-                w = tuple(lines[i][at : at + depth])
-                if len(w) == depth:
-                    if w in seen[depth] and sum(len(x.split()) for x in w) >= min_words:
-                        gone[i] |= set(range(at, at + depth))
-                    seen[depth].add(w)
-    want = {i: "\n".join(x for k, x in enumerate(lines[i]) if k not in gone[i]) for i in lines}
-    got = {r.doc_id: r.text for r in op02_line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_lines, min_words).collect()}
-    assert got == want
+    words = lambda run: sum(len(x.encode().split()) for x in run)
+    for i in lines:
+        for a in range(len(lines[i])):
+            runs = [tuple(lines[i][a:b]) for b in range(a + 1, len(lines[i]) + 1)]
+            for run in runs:
+                if run in seen and words(run) >= min_words:
+                    gone[i] |= set(range(a, a + len(run)))
+            seen.update(runs)
+    return {i: "\n".join(x for k, x in enumerate(lines[i]) if k not in gone[i]) for i in lines}
+
+
+@pytest.mark.parametrize("min_words", [1, 3, 5, 9])
+def test_line_dedup_by_brute_force(spark, min_words):
+    rng = random.Random(min_words)
+    rows = [(i, "\n".join(rng.choice(["a", "b b", "c c c", "d", "", "  "]) for _ in range(rng.randrange(14)))) for i in range(60)]
+    rows += [(100, "\n".join(["w"] * 60)), (101, "x\n" + "\n".join(["w"] * 60) + "\ny"), (102, "\n".join(f"u{k}" for k in range(40))), (103, "p\n" + "\n".join(f"u{k}" for k in range(40)) + "\n\n"), (104, "\n" * 50)]
+    got = {r.doc_id: r.text for r in op02_line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), min_words).collect()}
+    assert got == brute_lines(rows, min_words)
+
+
+def test_line_dedup_of_repeated_and_null_ids(spark):
+    a, b, c = "one two three four five", "six seven eight nine ten", "x y z"
+    rows = [(5, a + "\n" + b, "l"), (5, b + "\n" + c, "l"), (None, a + "\n" + c, "l"), (None, None, "l"), (7, a, "l"), (7, a, "l"), (7, a, "other"), (1, "q w e r t", "l"), (1, "q w e r t", "l")]
+    out = op02_line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()
+    assert len(out) == len(rows)
+    left = defaultdict(list)
+    for r in out:
+        left[r.doc_id].append((r.text, r.n_lines, r.n_removed))
+    assert left[1] == [("q w e r t", 1, 0)] * 2 and left[7] == [("", 1, 1)] * 3
+    assert sorted(left[5]) in ([(a, 2, 1), (b + "\n" + c, 2, 0)], [(a + "\n" + b, 2, 0), (c, 2, 1)])
+    assert sorted(left[None], key=str) == [(c, 2, 1), (None, 0, 0)]
+
+
+def test_line_dedup_of_a_very_long_document(spark):
+    """A hundred thousand equal lines and as many others: no step is quadratic."""
+    rows = [(1, "\n".join(["same line of five words"] * 100_000)), (2, "\n".join(f"line {k} of the text" for k in range(100_000))), (3, "head\n" + "\n".join(f"line {k} of the text" for k in range(50_000, 90_000)))]
+    out = {r.doc_id: r for r in op02_line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (out[1].text, out[1].n_removed, out[1].n_runs) == ("same line of five words", 99_999, 1)
+    assert out[2].n_removed == 0 and (out[3].text, out[3].n_removed) == ("head", 40_000)
 
 
 # 3
