@@ -12,7 +12,8 @@ three names; the recursion ends there, as no longer prefix is asked for. Other s
 a sampled one: windows i, j have some d in 0, 1, 2 for which i + d and j + d are both sampled, so each window takes part in
 the two sorts, of d bytes, a name and 2 - d bytes, that its place modulo 3 allows. Equal neighbours in a sort repeat.
 
-Buckets of more than HOT contexts take an exact way around the task: their windows are counted by 128-bit hashes.
+Buckets of more than HOT contexts or BATCH bytes don't go to one task: the same cover is sorted and named by Spark,
+a row for each sampled position, level by level over all tasks.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lookup
+from .common import K1, K2, cut, lookup, row_keys
 
 LENGTH, K, HOT, BATCH = 200, 48, 1000, 1_500_000
 PIECE = 1 << 18
@@ -151,53 +152,56 @@ def _bytes(cell) -> np.ndarray:
 
 
 def anchor_counts(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, h, n): the anchor hashes of each document of (doc_id, text as binary), and their places."""
+    """(K1, K2, h, n): the anchor hashes of each document of (K1, K2, text as binary), and their places."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length)
         for batch in batches:
-            ids, hashes, counts = [], [], []
-            for doc_id, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            k1, k2, hashes, counts = [], [], [], []
+            for a, b, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 value, n = anchors.places(_bytes(cell))
-                ids.append(np.full(len(value), doc_id, np.int64))
+                k1.append(np.full(len(value), a, np.int64))
+                k2.append(np.full(len(value), b, np.int64))
                 hashes.append(value.view(np.int64))
                 counts.append(n)
             join = lambda x: np.concatenate([*x, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(join(ids)), pa.array(join(hashes)), pa.array(join(counts))], ["doc_id", "h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(join(x)) for x in (k1, k2, hashes, counts)], [K1, K2, "h", "n"])
 
-    return docs.mapInArrow(task, "doc_id long, h long, n long")
+    return docs.mapInArrow(task, f"{K1} long, {K2} long, h long, n long")
 
 
-ROWS = "kind string, doc_id long, at long, windows long, h long, c1 long, c2 long, n_bytes long, sha256 string, body binary"
+ROWS = f"kind string, {K1} long, {K2} long, doc_id long, at long, windows long, h long, c1 long, c2 long, n_bytes long, sha256 string, body binary"
 
 
 def contexts(docs: DataFrame, length: int) -> DataFrame:
-    """ROWS of docs (doc_id, text as binary, hs: its repeated anchor hashes or null).
+    """ROWS of docs (K1, K2, doc_id, text as binary, hs: its repeated anchor hashes or null).
 
-    plain: a document without repeated anchors, done; text: any other; run: one of its contexts.
+    plain: a document without repeated anchors, done; text: any other; run: one of its contexts. A context of more than
+    PIECE windows is cut into several, from its start on, so that equal ones are cut alike; all their windows stay.
     """
     import hashlib
 
-    fields = ["kind", "doc_id", "at", "windows", "h", "c1", "c2", "n_bytes", "sha256", "body"]
-    kinds = [pa.string(), *[pa.int64()] * 7, pa.string(), pa.binary()]
+    fields = ["kind", K1, K2, "doc_id", "at", "windows", "h", "c1", "c2", "n_bytes", "sha256", "body"]
+    kinds = [pa.string(), *[pa.int64()] * 9, pa.string(), pa.binary()]
 
     def task(batches):
         anchors = Anchors(length)
         for batch in batches:
             rows, held = [], 0
-            for doc_id, cell, hs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                b = _bytes(cell)
+            for k1, k2, doc_id, cell, hs in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4), strict=True):
+                b, none = _bytes(cell), (None,) * 5
                 if not hs.is_valid:
-                    rows.append(("plain", doc_id, None, None, None, None, None, len(b), hashlib.sha256(b.tobytes()).hexdigest(), None))
+                    rows.append(("plain", k1, k2, doc_id, *none, len(b), hashlib.sha256(b.tobytes()).hexdigest(), None))
                     continue
-                rows.append(("text", doc_id, None, None, None, None, None, len(b), None, b.tobytes()))
+                rows.append(("text", k1, k2, doc_id, *none, len(b), None, b.tobytes()))
                 least = anchors.least(b)
                 starts, lengths = runs_of(least)
                 mine = np.isin(least[starts].view(np.int64), hs.values.to_numpy())
-                for at, n in zip(starts[mine].tolist(), lengths[mine].tolist(), strict=True):
+                pieces = [(a, min(PIECE, at + n - a)) for at, n in zip(starts[mine].tolist(), lengths[mine].tolist(), strict=True) for a in range(at, at + n, PIECE)]
+                for at, n in pieces:
                     body = b[at : at + n + length - 1].tobytes()
                     c1, c2 = np.frombuffer(xxhash.xxh3_128_digest(body), np.int64)
-                    rows.append(("run", doc_id, at, n, int(least[at].view(np.int64)), int(c1), int(c2), None, None, body))
+                    rows.append(("run", k1, k2, None, at, n, int(least[at].view(np.int64)), int(c1), int(c2), None, None, body))
                 held += len(b)
                 if held > 4_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], fields)
@@ -254,53 +258,116 @@ def _classify(rows: list, length: int) -> list:
     return out
 
 
-def hot_windows(bodies: DataFrame, length: int) -> DataFrame:
-    """(c1, c2, j, copies, w1, w2): the windows of hot buckets' contexts, with their 128-bit hash."""
+def cover_rows(bodies: DataFrame, length: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Of bodies (c1, c2, body): (c1, c2, at, name), the bytes' triples at sampled positions, and (c1, c2, at, d, edge).
 
-    def task(batches):
+    The latter has two rows for each window, which begins d bytes before the sampled position at; edge packs those of
+    its bytes that the depth bytes from there on leave out.
+    """
+
+    def triples(batches):
         for batch in batches:
-            for c1, c2, copies, body in zip(*(batch.column(i) for i in range(1, 5)), strict=True):
-                b = body.as_py()
-                n = len(b) - length + 1
-                w = np.frombuffer(b"".join([xxhash.xxh3_128_digest(b[j : j + length]) for j in range(n)]), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, x.as_py(), np.int64)) for x in (c1, c2)] + [pa.array(np.arange(n)), pa.array(np.full(n, copies.as_py(), np.int64)), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy())], ["c1", "c2", "j", "copies", "w1", "w2"])
+            for c1, c2, body in zip(*(batch.column(i) for i in range(3)), strict=True):
+                b = _bytes(body).astype(np.int64)
+                at = np.flatnonzero(np.arange(len(b) - 2) % 3)
+                yield _cover_batch(c1, c2, at=at, name=(b[at] << 16) | (b[at + 1] << 8) | b[at + 2])
+
+    def windows(batches):
+        for batch in batches:
+            for c1, c2, body in zip(*(batch.column(i) for i in range(3)), strict=True):
+                b = _bytes(body).astype(np.int64)
+                starts = np.arange(len(b) - length + 1)
+                for d in range(3):
+                    i = starts[(starts + d) % 3 != 0]
+                    edge = np.zeros(len(i), np.int64)
+                    for j in [*range(d), *range(d + depth, length)]:
+                        edge = (edge << 8) | b[i + j]
+                    yield _cover_batch(c1, c2, at=i + d, d=np.full(len(i), d, np.int64), edge=edge)
+
+    three = bodies.select("c1", "c2", "body")
+    return three.mapInArrow(triples, "c1 long, c2 long, at long, name long"), three.mapInArrow(windows, "c1 long, c2 long, at long, d long, edge long")
+
+
+def _cover_batch(c1, c2, **columns: np.ndarray) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, c.as_py(), np.int64)) for c in (c1, c2)] + [pa.array(x) for x in columns.values()], ["c1", "c2", *columns])
 
-    return bodies.mapInArrow(task, "c1 long, c2 long, j long, copies long, w1 long, w2 long")
+
+def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows whose keys are there twice or more, with name: the keys' places in their sorted order."""
+    names = rows.groupBy(*keys).agg(F.count("*").alias("w")).filter("w > 1")
+    names = cut(names.orderBy(*keys).withColumn("name", F.monotonically_increasing_id()))
+    return lookup(rows, names, keys, ["name"], "w", rows.count()).filter("name is not null")
+
+
+def cover_depths(length: int) -> list[tuple[int, int]]:
+    """The steps (middle, last) at which two further names follow a name, so that the depths 3, 9, 27 ... reach length - 2 but for 0 to 2 bytes."""
+    depth, out = 3, []
+    while 3 * depth <= length - 2:
+        out.append((depth, 2 * depth))
+        depth *= 3
+    rest = (length - 2 - depth) // 3 * 3
+    return [*out, (min(depth, rest), rest)] if rest > 0 else out
+
+
+def sorted_apart(bodies: DataFrame, length: int) -> DataFrame:
+    """RANGES of repeated windows of bodies (c1, c2, body), by the difference cover over Spark's own sorts, a row for each sampled position.
+
+    For buckets that are too large for one task. Triples of names are grouped, sorted and numbered over all tasks, level
+    by level; a triple that is there once is in no repeated window, so it goes at once.
+    """
+    steps = cover_depths(length)
+    depth = 3 + sum(last for _, last in steps)
+    triples, windows = cover_rows(bodies, length, depth)
+    now = cut(triples)
+    for middle, last in steps:
+        along = Window.partitionBy("c1", "c2", F.col("at") % 3).orderBy("at")
+        at = lambda step, along=along: F.max("name").over(along.rangeBetween(step, step))
+        deeper = cut(now.select("c1", "c2", "at", F.col("name").alias("n0"), at(middle).alias("n1"), at(last).alias("n2")).filter("n1 is not null and n2 is not null"))
+        now = cut(_named(deeper, ["n0", "n1", "n2"]).select("c1", "c2", "at", "name"))
+    placed = cut(windows.join(now.hint("merge"), ["c1", "c2", "at"]))
+    found = _named(placed.withColumnRenamed("name", "n0"), ["d", "edge", "n0"]).select("c1", "c2", (F.col("at") - F.col("d")).alias("j")).distinct()
+    starts = found.groupBy("c1", "c2").agg(F.array_sort(F.collect_list("j")).alias("starts"))
+    return starts.select("c1", "c2", "starts", F.transform("starts", lambda _: F.lit(1).cast("long")).alias("lengths"))
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of docs (doc_id, text; further columns are left out).
 
     kept is what stays, as binary, and null where all of it stays. A null text counts as empty; texts shorter than length
-    lose nothing. doc_id is unique and not null. An empty table gives an empty one.
+    lose nothing. Every row is a document: rows of one doc_id or of none are told apart by their text, and of rows with
+    equal doc_id and text each has the other's bytes elsewhere, so texts of length bytes go in all of them. An empty table
+    gives an empty one.
     """
     import hashlib
 
     spark = docs.sparkSession
     raw = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    counts = cut(anchor_counts(raw, length))
+    raw = raw.withColumns(row_keys(raw))
+    counts = cut(anchor_counts(raw.select(K1, K2, "text"), length))
     dup = counts.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("w")).filter("n > 1")
-    shared = lookup(counts.select("doc_id", "h"), dup, ["h"], ["w"], "w", counts.count()).filter("w is not null")
-    hs = shared.groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
-    rows = cut(contexts(raw.join(hs.hint("merge"), "doc_id", "left").select("doc_id", "text", "hs"), length))
+    shared = lookup(counts.select(K1, K2, "h"), dup, ["h"], ["w"], "w", counts.count()).filter("w is not null")
+    hs = shared.groupBy(K1, K2).agg(F.collect_set("h").alias("hs"))
+    rows = cut(contexts(raw.join(hs.hint("merge"), [K1, K2], "left").select(K1, K2, "doc_id", "text", "hs"), length))
 
-    members = rows.filter("kind = 'run'").select("doc_id", "at", "windows", "h", "c1", "c2")
+    members = rows.filter("kind = 'run'").select(K1, K2, "at", "c1", "c2").distinct()
     n_members = members.count()
     bodies = cut(rows.filter("kind = 'run'").groupBy("c1", "c2").agg(F.first("h").alias("h"), F.count("*").alias("copies"), F.first("body").alias("body")))
-    buckets = bodies.groupBy("h").agg(F.count("*").alias("kinds"), F.min("copies").alias("least"))
+    size = F.octet_length("body").cast("long")
+    buckets = bodies.groupBy("h").agg(F.count("*").alias("kinds"), F.sum(size).alias("bytes"), F.min("copies").alias("least"))
     # a bucket whose contexts all have copies needs no sort
-    open_ = lookup(bodies, buckets.filter("least = 1"), ["h"], ["kinds"], "kinds", bodies.count()).filter("kinds is not null").select("h", "c1", "c2", "copies", "body", "kinds")
+    open_ = lookup(bodies, buckets.filter("least = 1"), ["h"], ["kinds", "bytes"], "kinds", bodies.count()).filter("kinds is not null").select("h", "c1", "c2", "copies", "body", "kinds", "bytes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    calm = open_.filter(F.col("kinds") <= hot).drop("kinds").repartition(parts, "h").sortWithinPartitions("h")
-    windows = cut(hot_windows(open_.filter(F.col("kinds") > hot).drop("kinds"), length))
-    twice = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n"), F.count("*").alias("w")).filter("n > 1")
-    apart = lookup(windows, twice, ["w1", "w2"], ["n"], "w", windows.count()).filter("n is not null").groupBy("c1", "c2").agg(F.array_sort(F.collect_list("j")).alias("starts"))
-    apart = apart.select("c1", "c2", "starts", F.transform("starts", lambda _: F.lit(1).cast("long")).alias("lengths"))
-    known = sorted_contexts(calm, length).unionByName(apart)
+    small = (F.col("kinds") <= hot) & (F.col("bytes") <= BATCH)
+    calm = open_.filter(small).select("h", "c1", "c2", "copies", "body").repartition(parts, "h").sortWithinPartitions("h")
+    large = cut(open_.filter(~small).select("c1", "c2", "body"))
+    known = sorted_contexts(calm, length)
+    if large.limit(1).count():
+        known = known.unionByName(sorted_apart(large, length))
     sure = bodies.filter("copies > 1").select("c1", "c2", F.array(F.lit(0).cast("long")).alias("starts"), F.array((F.octet_length("body") - (length - 1)).cast("long")).alias("lengths"))
     ranges = cut(known.join(bodies.filter("copies = 1").select("c1", "c2"), ["c1", "c2"], "left_semi").withColumn("copies", F.lit(1).cast("long")).unionByName(sure.join(bodies.select("c1", "c2", "copies"), ["c1", "c2"])))
     placed = lookup(members, ranges, ["c1", "c2"], ["starts", "lengths"], "copies", n_members).filter("starts is not null")
-    spans = placed.groupBy("doc_id").agg(F.flatten(F.collect_list(F.transform("starts", lambda x: x + F.col("at")))).alias("starts"), F.flatten(F.collect_list("lengths")).alias("lengths"))
+    spans = placed.groupBy(K1, K2).agg(F.flatten(F.collect_list(F.transform("starts", lambda x: x + F.col("at")))).alias("starts"), F.flatten(F.collect_list("lengths")).alias("lengths"))
 
     def remove(batches):
         for batch in batches:
@@ -319,8 +386,8 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFr
             kinds = [*[pa.int64()] * 4, pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    texts = rows.filter("kind = 'text'").select("doc_id", "body")
-    cut_texts = texts.join(spans.hint("merge"), "doc_id", "left").select("doc_id", "body", "starts", "lengths").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    texts = rows.filter("kind = 'text'").select(K1, K2, "doc_id", "body")
+    cut_texts = texts.join(spans.hint("merge"), [K1, K2], "left").select("doc_id", "body", "starts", "lengths").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     plain = rows.filter("kind = 'plain'").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
     return plain.unionByName(cut_texts)
 

@@ -485,7 +485,7 @@ def brute_bytes(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length, hot", [(200, 1000), (40, 1000), (40, 1)])
+@pytest.mark.parametrize("length, hot", [(200, 1000), (40, 1000), (40, 1), (200, 1), (41, 0)])
 def test_suffix_dedup(spark, docs, empty, length, hot):
     rows = local(docs)
     df = docs.select("doc_id", "text", F.lit(1).alias("h"), F.lit("x").alias("kind"))
@@ -495,6 +495,29 @@ def test_suffix_dedup(spark, docs, empty, length, hot):
         assert op07_suffix_dedup.dedup_bytes(empty, length).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1000, 10])
+def test_suffix_dedup_of_one_crowded_bucket(spark, monkeypatch, hot):
+    """Three thousand surroundings of one passage, some of them equal; runs of one letter, longer than a piece."""
+    monkeypatch.setattr(op07_suffix_dedup, "PIECE", 512)
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(60))
+    noise = lambda n: "".join(rng.choice("xyzw ") for _ in range(n))
+    some = [noise(30) for _ in range(900)]
+    rows = [(i, noise(5) + some[rng.randrange(900)] + passage + some[rng.randrange(900)] + noise(5)) for i in range(3000)]
+    rows += [(5000, "a" * 2000), (5001, "b" * 100 + "a" * 700), (5002, "c" * 90), (5003, "ac" * 800)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op07_suffix_dedup.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 80, hot).collect()}
+    assert got == brute_bytes(rows, 80)
+    assert any(0 < x[1] < x[0] for x in got.values())
+
+
+def test_suffix_dedup_of_repeated_and_null_ids(spark):
+    a, b = " ".join(word_list(60, 21)), " ".join(word_list(60, 22))
+    rows = [(1, a), (1, b), (2, b[:150] + a[100:]), (None, "short"), (None, None), (7, "twice " * 20), (7, "twice " * 20), (None, a[:50])]
+    got = op07_suffix_dedup.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 40).collect()
+    want = brute_bytes([(k, t) for k, (_, t) in enumerate(rows)], 40)
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter((i, *want[k]) for k, (i, _) in enumerate(rows))
+
+
 @pytest.mark.parametrize("length", [5, 6, 7, 8, 11, 29, 83, 200])
 def test_difference_cover(length):
     rng = np.random.default_rng(length)
