@@ -7,13 +7,17 @@ trie; the stack holds the last token of each prefix on the path, and a prefix th
 A word's last symbol carries the end-of-word mark, so it gets a state of its own beside the shared ones.
 
 Text rules are those of the tokenizer file: special tokens are cut out of the raw text first; NFC; white space to
-a space; lower case a character at a time; words by the file's pattern; UTF-8 bytes as the byte-level alphabet.
+a space; lower case a character at a time; words by the file's pattern; UTF-8 bytes as the byte-level alphabet. What is
+a letter, a number or a capital is asked of the tokenizer's own library for the code points that this Python does not know.
 One pass without a shuffle: each task keeps the words it has met, at most CACHE of them.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import re
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
@@ -45,6 +49,36 @@ def token_table(config: dict) -> dict[int, str]:
     return {i: t for t, i in config["model"]["vocab"].items()} | {x["id"]: x["content"] for x in config["added_tokens"]}
 
 
+@functools.cache
+def unicode_gaps() -> dict[str, dict[int, str]]:
+    """lower: what the tokenizers library lower-cases and this Python, which has not assigned it, does not.
+
+    shape: for each unassigned code point that the regex module classes otherwise than the library a stand-in of the
+    library's class, a letter that no contraction has, a number or a symbol. Nothing else differs: all code points agree in NFC.
+    """
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    unknown = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cn"]
+    low = normalizers.Lowercase().normalize_str("\n".join(unknown)).split("\n")
+    of_class = lambda name: set("".join(x for x, _ in pre_tokenizers.Split(Regex(rf"\p{{{name}}}+"), "removed", invert=True).pre_tokenize_str("".join(unknown))))
+    letters, numbers = of_class("L"), of_class("N")
+    theirs = lambda c: "x" if c in letters else "1" if c in numbers else "\xa4"
+    own = regex.compile(r"(\p{L})|(\p{N})|.", regex.DOTALL)
+    ours = lambda c: ("\xa4", "x", "1")[own.match(c).lastindex or 0]
+    return {"lower": {ord(c): x for c, x in zip(unknown, low, strict=True) if c != x}, "shape": {ord(c): theirs(c) for c in unknown if theirs(c) != ours(c)}}
+
+
+def _char_class(codes: Iterable[int]) -> re.Pattern:
+    """A pattern of one of these code points."""
+    spans: list[list[int]] = []
+    for c in sorted(codes):
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]") if spans else re.compile(r"(?!)")
+
+
 class WordBpe:
     """A tokenizer file of this kind: BPE with an end-of-word suffix over the byte-level alphabet, no decoder."""
 
@@ -75,6 +109,8 @@ class WordBpe:
         self.keeps: dict[tuple[str, str], bool] = {}
         self.reset_words()
         self.pattern = regex.compile(next(x["pattern"]["Regex"] for x in config["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
+        gaps = config["gaps"]
+        self.lower, self.shape, self.odd = gaps["lower"], gaps["shape"], _char_class({*gaps["lower"], *gaps["shape"]})
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def keep(self, a: str, b: str) -> bool:
@@ -159,9 +195,16 @@ class WordBpe:
 
     def pretokens(self, text: str) -> list[str]:
         """The words of a text without special tokens. Capital sigma is lowered apart: str.lower looks at its neighbours."""
+        if text.isascii():
+            return self.pattern.findall(text.lower())
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        return self.pattern.findall(text.replace("\u03a3", "\u03c3").lower())
+        text = text.replace("\u03a3", "\u03c3")
+        if not self.odd.search(text):
+            return self.pattern.findall(text.lower())
+        # words are found in a text of the same length with a stand-in for each code point that is classed otherwise
+        low = text.translate(self.lower).lower()
+        return [low[m.start() : m.end()] for m in self.pattern.finditer(low.translate(self.shape))]
 
     def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each text's begin and end. Each distinct word is worked out once."""
@@ -207,8 +250,9 @@ def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 
 def load(path: str) -> dict:
+    """The tokenizer file, and under gaps what unicode_gaps says."""
     with open(path, encoding="utf-8") as f:
-        return json.load(f)
+        return json.load(f) | {"gaps": unicode_gaps()}
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -4,7 +4,6 @@ import base64
 import hashlib
 import io
 import random
-import unicodedata
 import zipfile
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -96,7 +95,7 @@ def bpe():
 def test_bpe_as_the_library(bpe, small):
     own, lib = bpe
     rng = random.Random(1)
-    letters = [chr(c) for c in [*range(1, 0x250), *range(0x370, 0x500), 0x3042, 0x4E00, 0x1F600, 0x301, 0x308, 0x130, 0x3A3, 0x2028, 0xFEFF] if unicodedata.category(chr(c)) != "Cn"]
+    letters = [chr(c) for c in [*range(1, 0x250), *range(0x370, 0x500), 0x3042, 0x4E00, 0x1F600, 0x301, 0x308, 0x130, 0x3A3, 0x2028, 0xFEFF, 0x558, 0x58B, 0x1C89, 0xA7DC, 0x10940, 0x10D50, 0x11DE0]]
     some = [t or "" for t in texts()] + [r.text for r in small.limit(60).collect()]
     some += ["".join(rng.choice(letters + ["'s", "'LL", " ", "<|startoftext|>", "</w>"] * 30) for _ in range(40)) for _ in range(800)]
     some += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in range(1, 150)] + ["a" * 3000]
@@ -105,6 +104,16 @@ def test_bpe_as_the_library(bpe, small):
     assert [own.decode(x) for x in want] == [lib.decode(x, skip_special_tokens=False) for x in want]
 
 
+def test_bpe_of_every_code_point(bpe):
+    """Alone and between letters and digits, unassigned ones too."""
+    own, lib = bpe
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for around in ("{}", "a{}b1{}'s"):
+        for at in range(0, len(points), 200_000):
+            some = [around.format(c, c) for c in points[at : at + 200_000]]
+            assert [x.tolist() for x in own.encode_batch(some)] == [e.ids for e in lib.encode_batch(some, add_special_tokens=False)]
+
+
 def test_bpe_pairs_against_plain_merging(bpe):
     own, _ = bpe
     symbols = lambda t: [*t[: -len(own.suffix) - 1], t[-len(own.suffix) - 1 :]] if t.endswith(own.suffix) else list(t)
