@@ -8,8 +8,8 @@ s = 0.75.
 Equal sets are one class first, with the smallest doc_id as representative. Then:
 1. Each bucket links its members to its smallest member. Links are confirmed on the full sets, and confirmed ones make
    components; a group of copies of any size costs a link a member.
-2. Buckets whose members still belong to several components compare members across components: sizes and 2048-bit
-   sketches, which bound the intersection from above, rule out most; the rest is confirmed on the full sets. Buckets of
+2. Buckets whose members still belong to several components compare members across components: sizes and sketches of
+   four bits or more a shingle, which bound the intersection from above, rule out most; the rest is confirmed on the full sets. Buckets of
    more than CHUNK members are compared by pairs of chunks in separate groups. So no link between bucket members is
    lost and no group's pairs are written out.
 """
@@ -87,8 +87,10 @@ class Signer:
         return key.view(np.int64)
 
     def sketch(self, s: np.ndarray) -> bytes:
-        bits = np.zeros(SKETCH_BYTES * 8, np.uint8)
-        bits[(s % np.uint64(SKETCH_BYTES * 8)).astype(np.int64)] = 1
+        """A bit for each value's remainder, in a number of bits that is a power of two; half as many are the halves or-ed."""
+        width = max(SKETCH_BYTES * 8, 1 << (4 * len(s) - 1).bit_length()) if len(s) else SKETCH_BYTES * 8
+        bits = np.zeros(width, np.uint8)
+        bits[(s % np.uint64(width)).astype(np.int64)] = 1
         return np.packbits(bits).tobytes()
 
 
@@ -126,13 +128,14 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets have a likeness of 0.75 or more.
 
-    a may be the hub of any number of pairs: its set goes to each of at most 64 salts that its pairs use.
+    Either end may be the hub of any number of pairs: its set goes to each of at most 64 salts that its pairs use.
     """
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)))
-    hubs = salted.select("a", "salt").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
-    ends = salted.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    spread = pairs.withColumns({"of_b": F.pmod(F.xxhash64("b"), F.lit(64)), "of_a": F.pmod(F.xxhash64("a"), F.lit(64))})
+    ends_a = spread.select("a", "of_b").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
+    ends_b = spread.select("b", "of_a").distinct().join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    return ends.join(hubs, ["a", "salt"]).filter(100 * both >= 75 * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    placed = spread.join(ends_b, ["b", "of_a"]).join(ends_a, ["a", "of_b"])
+    return placed.filter(100 * both >= 75 * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
 def _sizes_fit(m: Column, n: Column) -> Column:
@@ -153,11 +156,24 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs_of(held, [held.num_rows])
 
 
+def _folded(sketches: np.ndarray) -> np.ndarray:
+    """Sketches (rows of words) at half their width."""
+    half = sketches.shape[-1] // 2
+    return sketches[..., :half] | sketches[..., half:]
+
+
 def _pairs_of(rows: pa.RecordBatch, ends) -> pa.RecordBatch:
     c1, c2, chunk, doc, comp, n = (rows.column(i).to_numpy() for i in range(1, 7))
-    sketch = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+    own = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column(7)]
+    width = np.array([len(x) for x in own], np.int64)
     found, start = [], 0
     for end in ends:
+        place, tables = np.zeros(end - start, np.int64), {}
+        for w in np.unique(width[start:end]).tolist():
+            mine = np.flatnonzero(width[start:end] == w)
+            place[mine] = np.arange(len(mine))
+            tables[w] = np.stack([own[start + k] for k in mine])
+        halved = {w: _folded(t) for w, t in tables.items()}
         for i in range(start, end):
             # chunk pairs: rows of the first chunk meet those of the second; within one chunk, those after them
             j = np.arange(i + 1, end) if c1[i] == c2[i] else np.flatnonzero(chunk[start:end] == c2[i]) + start if chunk[i] == c1[i] else ()
@@ -165,11 +181,16 @@ def _pairs_of(rows: pa.RecordBatch, ends) -> pa.RecordBatch:
                 continue
             m, k = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
             j = j[(comp[j] != comp[i]) & (100 * m >= 75 * k)]
-            if not len(j):
-                continue
-            most = np.minimum(n[i] - np.bitwise_count(sketch[i] & ~sketch[j]).sum(1, dtype=np.int64), n[j] - np.bitwise_count(sketch[j] & ~sketch[i]).sum(1, dtype=np.int64))
-            j = j[100 * most >= 75 * (n[i] + n[j] - most)]
-            found += [(min(doc[i], d), max(doc[i], d)) for d in doc[j].tolist()]
+            # sets of such sizes have sketches of one width or of one and its double
+            w = int(width[i])
+            for theirs, table, sketch in ((w, tables, own[i]), (2 * w, halved, own[i]), (w // 2, tables, _folded(own[i]))):
+                mine = j[width[j] == theirs]
+                if not len(mine):
+                    continue
+                other = table[theirs][place[mine - start]]
+                most = np.minimum(n[i] - np.bitwise_count(sketch & ~other).sum(1, dtype=np.int64), n[mine] - np.bitwise_count(other & ~sketch).sum(1, dtype=np.int64))
+                mine = mine[100 * most >= 75 * (n[i] + n[mine] - most)]
+                found += [(min(doc[i], d), max(doc[i], d)) for d in doc[mine].tolist()]
         start = end
     found = np.array(found, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])

@@ -264,6 +264,28 @@ def test_minhash_chunks(spark):
     assert need <= set(found) and len(found) == len(set(found))
 
 
+def test_sketches_rule_out_long_templates():
+    """Long sets of likeness 0.6 in one bucket leave no pair to confirm; of 0.8, in sketches of two widths, all."""
+    import pyarrow as pa
+
+    signer, rng = op03_minhash.Signer(), np.random.default_rng(2)
+    for share, alike in ((0.6, False), (0.8, True)):
+        common = rng.integers(0, 1 << 63, int(4096 * 2 * share / (1 + share)), dtype=np.uint64)
+        sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 63, 4096 - len(common) + 20 * (i % 2), dtype=np.uint64)])) for i in range(12)]
+        rows = [(5, 0, 0, 0, i, i, len(s), signer.sketch(s)) for i, s in enumerate(sets)]
+        assert len({len(r[7]) for r in rows}) == 2
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], list("abcdefgh"))
+        found = sum(out.num_rows for out in op03_minhash._cross_pairs(iter([batch])))
+        assert found == (66 if alike else 0)
+
+
+def test_confirmed_with_hubs_on_either_side(spark):
+    sets = spark.createDataFrame([(i, list(range(100 + (i % 2) * 40))) for i in range(300)], "doc_id long, s array<long>")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(i, 299) for i in range(1, 299)], "a long, b long")
+    got = {(r.a, r.b) for r in op03_minhash.confirmed(pairs, sets).collect()}
+    assert got == {(a, b) for a, b in [(0, i) for i in range(1, 300)] + [(i, 299) for i in range(1, 299)] if a % 2 == b % 2}
+
+
 def test_min_max_estimates_likeness():
     signer, rng = op03_minhash.Signer(), np.random.default_rng(3)
     errors = []
