@@ -12,8 +12,8 @@ three names; the recursion ends there, as no longer prefix is asked for. Other s
 a sampled one: windows i, j have some d in 0, 1, 2 for which i + d and j + d are both sampled, so each window takes part in
 the two sorts, of d bytes, a name and 2 - d bytes, that its place modulo 3 allows. Equal neighbours in a sort repeat.
 
-Buckets of more than HOT contexts or BATCH bytes don't go to one task: the same cover is sorted and named by Spark,
-a row for each sampled position, level by level over all tasks.
+Buckets of more than HOT contexts or BATCH bytes don't go to one task; their windows are counted by 128-bit hashes,
+which is exact as well. The README says why, with figures.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import K1, K2, cut, lookup, row_keys
@@ -258,77 +258,18 @@ def _classify(rows: list, length: int) -> list:
     return out
 
 
-def cover_rows(bodies: DataFrame, length: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Of bodies (c1, c2, body): (c1, c2, at, name), the bytes' triples at sampled positions, and (c1, c2, at, d, edge).
+def hot_windows(bodies: DataFrame, length: int) -> DataFrame:
+    """(c1, c2, j, copies, w1, w2): the windows of hot buckets' contexts, with their 128-bit hash."""
 
-    The latter has two rows for each window, which begins d bytes before the sampled position at; edge packs those of
-    its bytes that the depth bytes from there on leave out.
-    """
-
-    def triples(batches):
-        for batch in batches:
-            for c1, c2, body in zip(*(batch.column(i) for i in range(3)), strict=True):
-                b = _bytes(body).astype(np.int64)
-                at = np.flatnonzero(np.arange(len(b) - 2) % 3)
-                yield _cover_batch(c1, c2, at=at, name=(b[at] << 16) | (b[at + 1] << 8) | b[at + 2])
-
-    def windows(batches):
+    def task(batches):
         for batch in batches:
-            for c1, c2, body in zip(*(batch.column(i) for i in range(3)), strict=True):
-                b = _bytes(body).astype(np.int64)
-                starts = np.arange(len(b) - length + 1)
-                for d in range(3):
-                    i = starts[(starts + d) % 3 != 0]
-                    edge = np.zeros(len(i), np.int64)
-                    for j in [*range(d), *range(d + depth, length)]:
-                        edge = (edge << 8) | b[i + j]
-                    yield _cover_batch(c1, c2, at=i + d, d=np.full(len(i), d, np.int64), edge=edge)
-
-    three = bodies.select("c1", "c2", "body")
-    return three.mapInArrow(triples, "c1 long, c2 long, at long, name long"), three.mapInArrow(windows, "c1 long, c2 long, at long, d long, edge long")
-
-
-def _cover_batch(c1, c2, **columns: np.ndarray) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, c.as_py(), np.int64)) for c in (c1, c2)] + [pa.array(x) for x in columns.values()], ["c1", "c2", *columns])
+            for c1, c2, copies, body in zip(*(batch.column(i) for i in range(4)), strict=True):
+                b = body.as_py()
+                n = len(b) - length + 1
+                w = np.frombuffer(b"".join([xxhash.xxh3_128_digest(b[j : j + length]) for j in range(n)]), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, x.as_py(), np.int64)) for x in (c1, c2)] + [pa.array(np.arange(n)), pa.array(np.full(n, copies.as_py(), np.int64)), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy())], ["c1", "c2", "j", "copies", "w1", "w2"])
 
-
-def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows whose keys are there twice or more, with name: the keys' places in their sorted order."""
-    names = rows.groupBy(*keys).agg(F.count("*").alias("w")).filter("w > 1")
-    names = cut(names.orderBy(*keys).withColumn("name", F.monotonically_increasing_id()))
-    return lookup(rows, names, keys, ["name"], "w", rows.count()).filter("name is not null")
-
-
-def cover_depths(length: int) -> list[tuple[int, int]]:
-    """The steps (middle, last) at which two further names follow a name, so that the depths 3, 9, 27 ... reach length - 2 but for 0 to 2 bytes."""
-    depth, out = 3, []
-    while 3 * depth <= length - 2:
-        out.append((depth, 2 * depth))
-        depth *= 3
-    rest = (length - 2 - depth) // 3 * 3
-    return [*out, (min(depth, rest), rest)] if rest > 0 else out
-
-
-def sorted_apart(bodies: DataFrame, length: int) -> DataFrame:
-    """RANGES of repeated windows of bodies (c1, c2, body), by the difference cover over Spark's own sorts, a row for each sampled position.
-
-    For buckets that are too large for one task. Triples of names are grouped, sorted and numbered over all tasks, level
-    by level; a triple that is there once is in no repeated window, so it goes at once.
-    """
-    steps = cover_depths(length)
-    depth = 3 + sum(last for _, last in steps)
-    triples, windows = cover_rows(bodies, length, depth)
-    now = cut(triples)
-    for middle, last in steps:
-        along = Window.partitionBy("c1", "c2", F.col("at") % 3).orderBy("at")
-        at = lambda step, along=along: F.max("name").over(along.rangeBetween(step, step))
-        deeper = cut(now.select("c1", "c2", "at", F.col("name").alias("n0"), at(middle).alias("n1"), at(last).alias("n2")).filter("n1 is not null and n2 is not null"))
-        now = cut(_named(deeper, ["n0", "n1", "n2"]).select("c1", "c2", "at", "name"))
-    placed = cut(windows.join(now.hint("merge"), ["c1", "c2", "at"]))
-    found = _named(placed.withColumnRenamed("name", "n0"), ["d", "edge", "n0"]).select("c1", "c2", (F.col("at") - F.col("d")).alias("j")).distinct()
-    starts = found.groupBy("c1", "c2").agg(F.array_sort(F.collect_list("j")).alias("starts"))
-    return starts.select("c1", "c2", "starts", F.transform("starts", lambda _: F.lit(1).cast("long")).alias("lengths"))
+    return bodies.mapInArrow(task, "c1 long, c2 long, j long, copies long, w1 long, w2 long")
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -360,10 +301,11 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFr
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     small = (F.col("kinds") <= hot) & (F.col("bytes") <= BATCH)
     calm = open_.filter(small).select("h", "c1", "c2", "copies", "body").repartition(parts, "h").sortWithinPartitions("h")
-    large = cut(open_.filter(~small).select("c1", "c2", "body"))
-    known = sorted_contexts(calm, length)
-    if large.limit(1).count():
-        known = known.unionByName(sorted_apart(large, length))
+    windows = cut(hot_windows(open_.filter(~small).select("c1", "c2", "copies", "body"), length))
+    twice = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n"), F.count("*").alias("w")).filter("n > 1")
+    apart = lookup(windows, twice, ["w1", "w2"], ["n"], "w", windows.count()).filter("n is not null").groupBy("c1", "c2").agg(F.array_sort(F.collect_set("j")).alias("starts"))
+    apart = apart.select("c1", "c2", "starts", F.transform("starts", lambda _: F.lit(1).cast("long")).alias("lengths"))
+    known = sorted_contexts(calm, length).unionByName(apart)
     sure = bodies.filter("copies > 1").select("c1", "c2", F.array(F.lit(0).cast("long")).alias("starts"), F.array((F.octet_length("body") - (length - 1)).cast("long")).alias("lengths"))
     ranges = cut(known.join(bodies.filter("copies = 1").select("c1", "c2"), ["c1", "c2"], "left_semi").withColumn("copies", F.lit(1).cast("long")).unionByName(sure.join(bodies.select("c1", "c2", "copies"), ["c1", "c2"])))
     placed = lookup(members, ranges, ["c1", "c2"], ["starts", "lengths"], "copies", n_members).filter("starts is not null")
