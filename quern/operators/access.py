@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import matching, ordinal
-from ..plans.catalog import Catalog, SchemaError
+from ..plans.catalog import VARIABLE, Catalog, SchemaError
 from . import views
 
 DEFAULT_LIMIT, MAX_LIMIT = 50, 1000
@@ -45,28 +45,34 @@ class Table:
     """Reads of a model's log. watermark None is the live view; a number is the snapshot of so many physical rows.
 
     Every method gives a lazy DataFrame of the model's columns, so Catalyst prunes and pushes down what follows.
+    default_limit and max_limit are the pages' knobs.
     """
 
-    def __init__(self, catalog: Catalog, model: str, log: DataFrame, watermark: int | None = None):
+    def __init__(self, catalog: Catalog, model: str, log: DataFrame, watermark: int | None = None, default_limit: int = DEFAULT_LIMIT, max_limit: int = MAX_LIMIT):
         self.catalog, self.name, self.model, self.log, self.watermark = catalog, model, catalog.models[model], log, watermark
+        self.default_limit, self.max_limit = default_limit, max_limit
 
-    def at(self, watermark: int) -> Table:
-        return Table(self.catalog, self.name, self.log, watermark)
+    def at(self, watermark: int | None) -> Table:
+        return Table(self.catalog, self.name, self.log, watermark, self.default_limit, self.max_limit)
 
-    def rows(self) -> DataFrame:
-        """With _seq."""
+    def rows(self, columns: list[str] | None = None) -> DataFrame:
+        """With _seq. Where columns are ids and _seq alone the wide rows aren't read."""
         keys = [self.model.id]
-        return views.live(self.log, keys) if self.watermark is None else views.as_of(self.log, keys, self.watermark)
+        return views.live(self.log, keys, columns) if self.watermark is None else views.as_of(self.log, keys, self.watermark, columns)
 
     def all(self) -> DataFrame:
         return self.rows().select(*self.model.columns)
 
+    def page(self, params: dict[str, str]) -> Page:
+        return page_of(params, self.default_limit, self.max_limit)
+
     def scan(self, columns: list[str], params: dict[str, str] | None = None) -> DataFrame:
-        """Narrow scan in physical order, filtered."""
-        return self.rows().filter(matching(self.catalog, self.name, params or {})).orderBy(views.SEQ).select(*columns)
+        """Narrow scan in physical order, filtered: the columns, those filtered by, id and _seq are what is read."""
+        used = [*columns, *(params or {})]
+        return self.rows(used).filter(matching(self.catalog, self.name, params or {})).orderBy(views.SEQ).select(*columns)
 
     def get(self, key) -> DataFrame:
-        """An id's versions alone are read: the filter on the id goes below the aggregation."""
+        """An id's versions alone are read: the filter on the id goes below the join and the aggregation."""
         return self.all().filter(F.col(self.model.id) == F.lit(key))
 
     def find_by(self, **values) -> DataFrame:
@@ -108,7 +114,7 @@ class Table:
 
         Ties keep scan order when ascending and reverse it when descending. An unknown sort field leaves scan order.
         """
-        page, down = page_of(params), descending(params)
+        page, down = self.page(params), descending(params)
         seq = F.col(views.SEQ)
         name = params.get("sort", "")
         if name in self.model and self.model[name].filterable:
@@ -121,26 +127,31 @@ class Table:
 
     def total(self, params: dict[str, str]) -> DataFrame:
         """(total): rows that the filter leaves, before paging."""
-        return self.filtered(params).agg(F.count("*").alias("total"))
+        used = [f.name for f in self.model.fields if f.name in params]
+        return self.rows(used).filter(matching(self.catalog, self.name, params)).agg(F.count("*").alias("total"))
 
     def envelope(self, params: dict[str, str], projection: str | None = None) -> dict:
-        """The page as the list's wire form; at most MAX_LIMIT rows come to the driver."""
-        page = page_of(params)
+        """The page as the list's wire form; at most max_limit rows come to the driver."""
+        page = self.page(params)
         return {"data": [r.asDict(True) for r in self.list(params, projection).collect()], "total": self.total(params).first()["total"], "limit": page.limit, "offset": page.offset}
 
     def project(self, name: str) -> DataFrame:
-        return self.rows().select(*self.model.projected(name))
+        columns = self.model.projected(name)
+        return self.rows(columns).select(*columns)
 
     def get_projected(self, name: str, key) -> DataFrame:
         """A projected point read is of the live view, whatever the watermark; projected lists keep to it."""
-        return Table(self.catalog, self.name, self.log).project(name).filter(F.col(self.model.id) == F.lit(key))
+        return self.at(None).project(name).filter(F.col(self.model.id) == F.lit(key))
 
     def physical_rows(self) -> DataFrame:
         return self.log.agg(F.count("*").alias("row_count"))
 
     def live_rows(self) -> DataFrame:
-        return self.rows().agg(F.count("*").alias("count"))
-
-    def export_column(self, name: str):
-        """A non-null fixed-width column of the live rows, in physical order, as an Arrow array."""
-        return self.rows().orderBy(views.SEQ).select(name).toArrow().column(0)
+        return self.rows([self.model.id]).agg(F.count("*").alias("count"))
+
+    def export_column(self, name: str) -> DataFrame:
+        """A non-null fixed-width column of the live rows, in physical order: to write as Arrow or Parquet, or to collect by toArrow() where it is small."""
+        f = self.model[name]
+        if f.nullable or f.kind not in ("scalar", "enum") or f.target in VARIABLE:
+            raise SchemaError(f"{self.name}.{name} is not of fixed width and non-null")
+        return self.rows([name]).orderBy(views.SEQ).select(name)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import views
+from .spread import kept
+
 MAX_DEPTH = 64
 
 
@@ -25,6 +28,12 @@ def across(pairs: DataFrame, left: str, right: str, lefts: DataFrame, left_id: s
     return near.join(rights, near[right] == rights[right_id]).select(F.col(left).alias("from_id"), "first_seq", *[rights[c] for c in rights.columns])
 
 
+def across_at(links: DataFrame, left: str, right: str, lefts: DataFrame, left_id: str, rights: DataFrame, right_id: str, links_mark: int, rights_mark: int) -> DataFrame:
+    """across() as of a snapshot: links is the junction's log before links_mark, rights the other model's log before rights_mark."""
+    linked = views.pairs(links, left, right, links_mark)
+    return across(linked, left, right, lefts, left_id, views.as_of(rights, [right_id], rights_mark).drop(views.SEQ), right_id)
+
+
 def with_relations(rows: DataFrame, refs: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """rows with each forward reference (fk -> parents, their id) as a struct fk_row."""
     for fk, (parents, parent_id) in refs.items():
@@ -50,18 +59,17 @@ def nulled(doomed: DataFrame, parent_id: str, children: DataFrame, fk: str) -> D
 def cascade(doomed: DataFrame, child_links: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(id, depth) of doomed (id) and all that hangs below it over child_links (child, parent).
 
-    One semi-join a level; levels are checkpointed where the session has a folder for it. Deeper than max_depth is
-    refused with RecursionError, and a row is visited once, so a cycle ends.
+    One semi-join a level; levels are written to the shared folder. Deeper than max_depth is refused with
+    RecursionError, and a row is visited once, so a cycle ends.
     """
-    keep = (lambda d: d.checkpoint()) if doomed.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda d: d.persist())
-    seen = keep(doomed.select("id").distinct().withColumn("depth", F.lit(0)))
+    seen = kept(doomed.select("id").distinct().withColumn("depth", F.lit(0)))
     front, depth = seen, 0
     while True:
         below = child_links.join(front.select(F.col("id").alias("parent")), "parent", "left_semi").select(F.col("child").alias("id")).distinct()
-        front = keep(below.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth + 1)))
+        front = kept(below.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth + 1)))
         if not front.limit(1).count():
             return seen
         depth += 1
         if depth > max_depth:
             raise RecursionError(f"a cascade deeper than {max_depth}")
-        seen = keep(seen.unionByName(front))
+        seen = kept(seen.unionByName(front))

@@ -1,8 +1,9 @@
 """What a versioned log shows: live rows, snapshots, physical rows, junction pairs, statistics, compaction.
 
-A log has a row for each version: _seq (dense from 0 within an epoch), _deleted, and the model's columns. Of the versions
-of an id the newest counts, unless it is deleted. Everything is one aggregation by id, combined before the shuffle, so a
-churned id of any number of versions sends one row a task; a window would send and sort them all in one.
+A log has a row for each version: _seq (no two alike, dense from 0 within an epoch), _deleted, and the model's columns. Of
+the versions of an id the newest counts, unless it is deleted. Which that is, is found from ids and numbers alone: one hash
+aggregation, combined before the shuffle, so a churned id of any number of versions sends one row a task. Rows then meet the
+newest numbers in a semi-join, to whose left side Catalyst takes the filters and the columns that a query asks for.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spread import numbered
+
 SEQ, DELETED = "_seq", "_deleted"
 DEAD_RATIO, SOFT_DEAD, HARD_FACTOR = 0.3, 1000, 4
 
@@ -18,21 +21,27 @@ def fields_of(log: DataFrame) -> list[str]:
     return [c for c in log.columns if c not in (SEQ, DELETED)]
 
 
-def newest(log: DataFrame, keys: list[str]) -> DataFrame:
-    """The newest version of each key, deleted ones too."""
-    rest = [c for c in log.columns if c not in keys]
-    top = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), SEQ).alias("__v"))
-    return top.select(*keys, "__v.*").select(*log.columns)
+def heads(log: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _seq): the newest version of each key that isn't deleted. It reads nothing else, and aggregates numbers only."""
+    top = F.max(F.col(SEQ) * 2 + F.col(DELETED).cast("long")).alias("__top")
+    return log.groupBy(*keys).agg(top).filter("__top % 2 = 0").select(*keys, F.shiftright("__top", 1).alias(SEQ))
 
 
-def live(log: DataFrame, keys: list[str]) -> DataFrame:
-    """Newest versions that aren't deleted; _seq stays, for scan order."""
-    return newest(log, keys).filter(~F.col(DELETED)).drop(DELETED)
+def live(log: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Newest versions that aren't deleted; _seq stays, for scan order. Where only keys and _seq are wanted the heads are all."""
+    if columns is not None and set(columns) <= {*keys, SEQ}:
+        return heads(log, keys)
+    return log.filter(~F.col(DELETED)).drop(DELETED).join(heads(log, keys), [*keys, SEQ], "left_semi").select(*[c for c in log.columns if c != DELETED])
 
 
-def as_of(log: DataFrame, keys: list[str], watermark: int) -> DataFrame:
+def as_of(log: DataFrame, keys: list[str], watermark: int, columns: list[str] | None = None) -> DataFrame:
     """live() of the first watermark physical rows; the cut reaches the Parquet scan."""
-    return live(log.filter(F.col(SEQ) < watermark), keys)
+    return live(log.filter(F.col(SEQ) < watermark), keys, columns)
+
+
+def length(log: DataFrame) -> int:
+    """The watermark past the log's last version."""
+    return log.agg(F.coalesce(F.max(SEQ) + 1, F.lit(0))).first()[0]
 
 
 def read_at(log: DataFrame, row: int) -> DataFrame:
@@ -74,30 +83,9 @@ def counts(logs: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def numbered(df: DataFrame, order: list[str], start: int = 0, column: str = SEQ) -> DataFrame:
-    """df with dense numbers from start in the given order, which must tell all rows apart.
-
-    Rows are range-partitioned by order; a partition's first number is the sum of the counts before it, a row for
-    each partition, so no task sees all rows. The sorted rows are written out first where a checkpoint folder is set.
-    """
-    from pyspark.sql import Window
-
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
-    if spark.conf.get("spark.checkpoint.dir", None):
-        ranged = ranged.checkpoint()
-    else:
-        ranged = ranged.persist()
-    sizes, before = {r["__p"]: r["count"] for r in ranged.groupBy("__p").count().collect()}, {}
-    for p in sorted(sizes):
-        before[p] = start
-        start += sizes[p]
-    offset = F.lit(0).cast("long")
-    if before:
-        offset = F.element_at(F.create_map(*[x for p, n in before.items() for x in (F.lit(p), F.lit(n).cast("long"))]), F.col("__p"))
-    row = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return ranged.withColumn(column, (offset + row - 1).cast("long")).drop("__p")
+def totals(rows: DataFrame) -> DataFrame:
+    """(model_count, total_rows) of counts()."""
+    return rows.agg(F.count("*").alias("model_count"), F.coalesce(F.sum("rows"), F.lit(0)).alias("total_rows"))
 
 
 def compact(log: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,10 +11,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.predicates import violations
 from ..plans.catalog import Catalog
+from ..sources.segments import Head, Overtaken, Store
 from . import relations, views
+from .spread import kept, numbered
 
 #: Kind of a failed check -> status of the wire interface.
 STATUS = {"constraint": 422, "unique": 409, "foreign_key": 409, "restrict": 409, "conflict": 409}
@@ -57,21 +60,25 @@ def inserts(log: DataFrame, batch: DataFrame, order: list[str]) -> DataFrame:
     return _versions(log, batch.withColumn(views.DELETED, F.lit(False)), order)
 
 
+def _live_of(log: DataFrame, keys: list[str], ids: DataFrame) -> DataFrame:
+    """The live rows of these ids; versions of other ids are left out before anything is looked at."""
+    return views.live(log.join(ids.select(*keys).distinct(), keys, "left_semi"), keys)
+
+
 def updates(log: DataFrame, keys: list[str], batch: DataFrame) -> DataFrame:
     """Superseding versions of the rows whose id is live."""
-    known = views.live(log, keys).select(*keys)
+    known = _live_of(log, keys, batch).select(*keys)
     return _versions(log, batch.join(known, keys, "left_semi").withColumn(views.DELETED, F.lit(False)), keys)
 
 
 def deletes(log: DataFrame, keys: list[str], ids: DataFrame) -> DataFrame:
     """Tombstones: copies of the live rows of these ids, marked as deleted."""
-    doomed = views.live(log, keys).drop(views.SEQ).join(ids.select(*keys).distinct(), keys, "left_semi")
-    return _versions(log, doomed.withColumn(views.DELETED, F.lit(True)), keys)
+    return _versions(log, _live_of(log, keys, ids).drop(views.SEQ).withColumn(views.DELETED, F.lit(True)), keys)
 
 
 def _versions(log: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
-    start = log.agg(F.coalesce(F.max(views.SEQ) + 1, F.lit(0))).first()[0]
-    return views.numbered(rows, order, start).select(*log.columns)
+    """rows numbered from the log's end on, in the log's columns and types."""
+    return numbered(rows, order, views.length(log)).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in log.schema])
 
 
 def links(junction: DataFrame, pairs: DataFrame, left: str, right: str, unlink: bool = False) -> DataFrame:
@@ -82,6 +89,12 @@ def links(junction: DataFrame, pairs: DataFrame, left: str, right: str, unlink:
     return _versions(junction, wanted.withColumn(views.DELETED, F.lit(unlink)), [left, right])
 
 
+def unlink_all(junction: DataFrame, rows: DataFrame, side: str, left: str, right: str) -> DataFrame:
+    """Entries that retract every linked pair of these rows, given by column side, which is left or right."""
+    linked = views.pairs(junction.join(rows.select(side).distinct(), side, "left_semi"), left, right)
+    return _versions(junction, linked.select(left, right).withColumn(views.DELETED, F.lit(True)), [left, right])
+
+
 class Refused(Exception):
     """A transaction that breaks rules or conflicts; rows has up to 20 of the broken ones."""
 
@@ -95,13 +108,53 @@ class Transaction:
     """Staged versions of several models over fixed logs: all of them or none.
 
     logs are the committed logs; reads inside the transaction go to log(model), which has the staged versions too. Checks
-    run over the staged state as a whole in validate(); nothing is written here: the caller appends staged() through
-    sources.segments.commit, one manifest for all models.
+    run over the staged state as a whole in validate(). A transaction that Transaction.begin() made on a store writes with
+    commit(): one manifest entry for all models.
     """
 
     catalog: Catalog
     logs: dict[str, DataFrame]
     added: dict[str, DataFrame] = field(default_factory=dict)
+    store: Store | None = None
+    base: Head | None = None
+
+    @classmethod
+    def begin(cls, catalog: Catalog, store: Store) -> Transaction:
+        """Over all models' logs as they are now; what others commit later is not seen until commit() checks against it."""
+        base = store.head()
+        return cls(catalog, {m: base.log(m, log_schema(catalog, m)) for m in catalog.models}, store=store, base=base)
+
+    def commit(self, checked: bool = False) -> int:
+        """Validates and writes all staged versions; the commit's number. The first committer wins.
+
+        Others' commits since begin() are conflicts if they wrote an id that is written here, or compacted a log that is
+        written here; else the staged versions are numbered on behind them, and checked again over the logs as they are then.
+        The manifest entry is created under the next number only if nobody else has; if somebody has, it all
+        begins again with what they wrote. A Refused transaction has left nothing that a reader could see.
+        """
+        if self.store is None or self.base is None:
+            raise ValueError("begin() the transaction on a store")
+        if not checked:
+            self.validate()
+        staged = {m: kept(v) for m, v in self.added.items()}
+        if not staged:
+            return self.base.number
+        while True:
+            now, moved = self.store.head(), {}
+            for m, versions in staged.items():
+                if now.epoch(m) != self.base.epoch(m):
+                    raise Refused("conflict", [(m, "compacted")])
+                key, at = self.catalog.models[m].id, self.base.watermark(m)
+                if now.watermark(m) > at and (bad := conflicts(now.log(m, log_schema(self.catalog, m)), at, versions, [key]).limit(20).collect()):
+                    raise Refused("conflict", bad)
+                moved[m] = versions.withColumn(views.SEQ, F.col(views.SEQ) + (now.watermark(m) - at))
+            if now.number != self.base.number:
+                logs = {m: now.log(m, log_schema(self.catalog, m)) for m in self.catalog.models}
+                Transaction(self.catalog, logs, moved).validate()
+            try:
+                return self.store.commit(moved, head=now)
+            except Overtaken:
+                continue
 
     def log(self, model: str) -> DataFrame:
         return self.logs[model].unionByName(self.added[model]) if model in self.added else self.logs[model]
@@ -110,6 +163,7 @@ class Transaction:
         return views.live(self.log(model), [self.catalog.models[model].id]).drop(views.SEQ)
 
     def stage(self, model: str, versions: DataFrame) -> None:
+        """versions are numbered from the log's end on, as inserts(), updates() and deletes() of log(model) give them."""
         self.added[model] = self.added[model].unionByName(versions) if model in self.added else versions
 
     def insert(self, model: str, batch: DataFrame) -> None:
@@ -141,7 +195,7 @@ class Transaction:
         """Refused at the first kind of rule that staged live rows break."""
         for model, versions in self.added.items():
             m = self.catalog.models[model]
-            fresh = self.live(model).join(versions.select(m.id).distinct(), m.id, "left_semi")
+            fresh = _live_of(self.log(model), [m.id], versions).drop(views.SEQ)
             twice = versions.groupBy(m.id, views.SEQ).count().filter("count > 1")
             parents = {f.target: self.live(f.target) for f in m.fields if f.kind == "one"}
             checks = [("constraint", broken_constraints(self.catalog, model, fresh)), ("unique", broken_unique(self.catalog, model, fresh, self.live(model))), ("foreign_key", broken_keys(self.catalog, model, fresh, parents)), ("conflict", twice)]
@@ -150,6 +204,12 @@ class Transaction:
                     raise Refused(kind, bad)
 
 
+def log_schema(catalog: Catalog, model: str) -> T.StructType:
+    """The columns of a model's log."""
+    fields = [T.StructField(views.SEQ, T.LongType()), T.StructField(views.DELETED, T.BooleanType())]
+    return T.StructType([*fields, *catalog.schema(model).fields])
+
+
 def conflicts(log: DataFrame, snapshot: int, written: DataFrame, keys: list[str]) -> DataFrame:
     """First committer wins: of the keys that a transaction wrote those that others committed after its snapshot."""
     return written.select(*keys).distinct().join(log.filter(F.col(views.SEQ) >= snapshot).select(*keys), keys, "left_semi")

@@ -116,6 +116,9 @@ class Catalog:
             return SCALARS[f.target]
         if f.kind == "struct":
             return T.StructType([T.StructField(x.name, self.spark_type(x), x.nullable) for x in self.structs[f.target]])
+        if f.kind == "one":
+            key = self.models[f.target]
+            return self.spark_type(key[key.id]) if key[key.id].kind != "one" else T.StringType()
         if f.kind == "array":
             of = T.StringType() if f.target.startswith("char(") else SCALARS[f.target] if f.target in SCALARS else self.spark_type(Field(f.name, "struct", f.target))
             return T.ArrayType(of, False)

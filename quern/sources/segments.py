@@ -1,14 +1,17 @@
-"""Logs on disk: Parquet segments below a folder, named in a manifest table, and backups of them.
+"""Logs on disk: Parquet segments below a folder, named in a manifest, and backups of them.
 
-A commit writes a segment for each model and then one manifest row that names them all; readers see the segments that
-manifest rows name, so what no row names does not exist. The manifest is a Parquet folder itself; a commit appends one
-file to it, which is the commit point. One writer at a time is the contract.
+A commit writes a segment for each model and then one manifest entry that names them all; readers see the segments that
+manifest entries name, so what no entry names does not exist. An entry is a file with the commit's number for a name.
+It is moved into place only where no file has that name, which is the commit point: of two writers that saw the same last
+commit one comes first, and the other is told that it was Overtaken and nothing of its is seen.
 """
 
 from __future__ import annotations
 
-import tempfile
+import json
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +19,33 @@ from pyspark.sql import functions as F
 MANIFEST = "commit long, epoch long, model string, path string, low long, high long"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder where driver and executors both can write: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+class Overtaken(Exception):
+    """Another writer made the commit of this number."""
+
+
+@dataclass(frozen=True)
+class Head:
+    """The store as of a commit: number is the last one, rows are the manifest's entries up to it in the current epochs."""
+
+    spark: SparkSession
+    number: int
+    rows: tuple
+
+    def segments(self, model: str) -> list:
+        mine = [r for r in self.rows if r.model == model]
+        top = self.epoch(model)
+        return [r for r in mine if r.epoch == top]
+
+    def epoch(self, model: str) -> int:
+        return max((r.epoch for r in self.rows if r.model == model), default=0)
+
+    def watermark(self, model: str) -> int:
+        return max((r.high for r in self.segments(model)), default=0)
+
+    def log(self, model: str, schema) -> DataFrame:
+        """The committed log; _seq ranges let a snapshot skip whole files by their statistics."""
+        paths = [r.path for r in self.segments(model)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
 
 class Store:
@@ -29,45 +55,154 @@ class Store:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def manifest(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/_manifest")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        folder = f"{self.folder}/_manifest"
+        if not _exists(self.spark, folder):
             return self.spark.createDataFrame([], MANIFEST)
+        return self.spark.read.schema(MANIFEST).json(folder)
+
+    def head(self) -> Head:
+        """As of now. What comes to the driver is a row for each commit and model since the model's last compaction."""
+        rows = self.manifest()
+        number = rows.agg(F.coalesce(F.max("commit"), F.lit(0))).first()[0]
+        rows = rows.filter(F.col("commit") <= number)
+        now = rows.groupBy("model").agg(F.max("epoch").alias("epoch"))
+        return Head(self.spark, number, tuple(rows.join(now, ["model", "epoch"]).orderBy("commit").collect()))
 
     def segments(self, model: str) -> list:
         """Manifest rows of the model's current epoch, a row for each commit since its compaction."""
-        rows = self.manifest().filter(F.col("model") == model).orderBy("commit").collect()
-        top = max((r.epoch for r in rows), default=0)
-        return [r for r in rows if r.epoch == top]
+        return self.head().segments(model)
 
     def log(self, model: str, schema) -> DataFrame:
-        """The committed log; _seq ranges let a snapshot skip whole files by their statistics."""
-        paths = [r.path for r in self.segments(model) if r.path]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self.head().log(model, schema)
 
     def watermark(self, model: str) -> int:
-        return max((r.high for r in self.segments(model)), default=0)
+        return self.head().watermark(model)
+
+    def commit(self, versions: dict[str, DataFrame], head: Head | None = None, epochs: dict[str, int] | None = None) -> int:
+        """Append all of versions (model -> rows with _seq) or nothing; the number of the commit.
 
-    def commit(self, versions: dict[str, DataFrame], epoch: int | None = None) -> int:
-        """Append all of versions (model -> rows with _seq) or nothing; the number of the commit."""
-        rows, number = [], (self.manifest().agg(F.max("commit")).first()[0] or 0) + 1
+        head is what the writer saw, by default the store as of now. Versions begin at their log's watermark there, or at 0
+        in a new epoch, or they are refused. Overtaken if there has been another commit since.
+        """
+        head, rows = head or self.head(), []
+        try:
+            return self._commit(versions, head, epochs or {}, rows)
+        except (ValueError, Overtaken):
+            for r in rows:
+                _delete(self.spark, r["path"])
+            raise
+
+    def _commit(self, versions: dict[str, DataFrame], head: Head, epochs: dict[str, int], rows: list[dict]) -> int:
         for model, df in sorted(versions.items()):
-            path = f"{self.folder}/{model}/{uuid.uuid4().hex}"
+            path, epoch = f"{self.folder}/{model}/{uuid.uuid4().hex}", epochs.get(model, head.epoch(model))
+            rows.append({"commit": head.number + 1, "epoch": epoch, "model": model, "path": path})
             df.write.parquet(path)
             ends = self.spark.read.parquet(path).agg(F.min("_seq").alias("low"), F.max("_seq").alias("high")).first()
-            now = max((r.epoch for r in self.segments(model)), default=0) if epoch is None else epoch
-            rows.append((number, now, model, path, ends.low or 0, -1 + 1 if ends.high is None else ends.high + 1))
-        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/_manifest")
-        return number
-
-    def compact(self, model: str, schema, keys: list[str]) -> int:
-        """Rewrite a log as its live rows under a new epoch; earlier watermarks end with the old one."""
+            start = head.watermark(model) if epoch == head.epoch(model) else 0
+            if ends.low not in (None, start):
+                raise ValueError(f"versions of {model} begin at {ends.low}, its log ends before {start}")
+            rows[-1] |= {"low": start, "high": start if ends.high is None else ends.high + 1}
+        self._enter(head.number + 1, "".join(json.dumps(r) + "\n" for r in rows))
+        return head.number + 1
+
+    def _enter(self, number: int, text: str) -> None:
+        """The entry's file, written aside and then moved to its name if that is free."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        aside, place = (jvm.org.apache.hadoop.fs.Path(x) for x in (f"{self.folder}/_aside/{uuid.uuid4().hex}", f"{self.folder}/_manifest/{number:020d}.json"))
+        fs = place.getFileSystem(conf)
+        aside, place = fs.makeQualified(aside), fs.makeQualified(place)
+        out = fs.create(aside, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        fs.mkdirs(place.getParent())
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), conf)
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            context.rename(aside, place, options)
+        except Exception as e:
+            if "FileAlreadyExists" not in str(e) and not fs.exists(place):
+                raise
+            fs.delete(aside, False)
+            raise Overtaken(f"commit {number} has been made by another writer") from None
+
+    def rebase(self, model: str, rows: DataFrame, head: Head, start: int) -> int:
+        """rows in place of the model's log as of head, under a new epoch whose first number is start and whose watermark stays."""
+        path = f"{self.folder}/{model}/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        entry = {"commit": head.number + 1, "epoch": head.epoch(model) + 1, "model": model, "path": path, "low": start, "high": head.watermark(model)}
+        self._enter(head.number + 1, json.dumps(entry) + "\n")
+        return head.number + 1
+
+    def compact(self, model: str, schema, keys: list[str], between: Callable[[], None] = lambda: None) -> int:
+        """Rewrite a log as its live rows under a new epoch; earlier watermarks end with the old one.
+
+        A commit that others make meanwhile is not lost: the compaction is overtaken and begins again. between is called
+        after the log was read, for tests.
+        """
         from ..operators.views import compact
 
-        epoch = max((r.epoch for r in self.segments(model)), default=0) + 1
-        return self.commit({model: compact(self.log(model, schema), keys)}, epoch)
+        while True:
+            head = self.head()
+            rows = compact(head.log(model, schema), keys)
+            between()
+            try:
+                return self.commit({model: rows}, head, {model: head.epoch(model) + 1})
+            except Overtaken:
+                continue
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Lagging(Exception):
+    """A reader asks for events that retention has dropped: it must begin again from a snapshot."""
+
+
+class FeedStore:
+    """A durable feed: events by offset in segments, appended, read on from any retained offset, and pruned."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema):
+        self.spark, self.schema, self.store = spark, schema, Store(spark, folder)
+
+    def append(self, events: DataFrame) -> int:
+        """events (offset, ...) follow on the last; the watermark is the last offset."""
+        self.store.commit({"feed": events.withColumn("_seq", F.col("offset") - 1)})
+        return self.watermark()
+
+    def watermark(self) -> int:
+        return self.store.watermark("feed")
+
+    def earliest(self) -> int:
+        """The first offset that is still there."""
+        return min((r.low for r in self.store.segments("feed")), default=0) + 1
+
+    def read_from(self, after: int, most: int | None = None) -> DataFrame:
+        if after + 1 < self.earliest():
+            raise Lagging(f"events up to {self.earliest() - 1} are gone; {after + 1} was asked for")
+        return read_from(self.store.log("feed", self.schema), after, most)
+
+    def catch_up_from(self, after: int, most: int | None = None) -> tuple[DataFrame, int]:
+        """(events after that offset, boundary): a reader applies them, then of the live stream only offsets beyond the boundary."""
+        boundary = self.watermark()
+        return self.read_from(after, most).filter(F.col("offset") <= boundary), boundary
+
+    def prune_through(self, through: int) -> None:
+        """Drops every event up to that offset. What stays of a segment that it cuts is written anew; the files that no entry names any more go."""
+        head = self.store.head()
+        old = head.segments("feed")
+        through = min(through, head.watermark("feed"))
+        rest = prune_through(head.log("feed", self.schema), through).withColumn("_seq", F.col("offset") - 1)
+        self.store.rebase("feed", rest, head, through)
+        for r in old:
+            _delete(self.spark, r.path)
 
 
 def backup(log: DataFrame, folder: str, high: int, low: int = 0) -> None:

@@ -14,15 +14,31 @@ from pyspark.sql import functions as F
 from ..functions.predicates import changed
 from ..operators import views
 
+#: Versions of an id are looked at in blocks of so many numbers.
+BLOCK = 1 << 20
+
 
 def events(log: DataFrame, keys: list[str], model: str) -> DataFrame:
-    """offset, model, kind and the row of each version. A deleted event carries the row as it was before."""
-    order = Window.partitionBy(*keys).orderBy(views.SEQ)
-    before = F.lag(F.struct(*log.columns)).over(order)
-    was_live = before.isNotNull() & ~before[views.DELETED]
-    kind = F.when(F.col(views.DELETED) & was_live, "deleted").when(~F.col(views.DELETED) & was_live, "updated").when(~F.col(views.DELETED), "inserted")
-    out = log.withColumns({"kind": kind}).filter("kind is not null")
-    return out.select((F.col(views.SEQ) + 1).alias("offset"), F.lit(model).alias("model"), "kind", *views.fields_of(log))
+    """offset, model, kind and the row of each version. A deleted event carries the row as it was before.
+
+    The version before is looked up within blocks of BLOCK numbers of an id, and at a block's beginning in the last version
+    of the id's block before, a row for each of them: an id of any number of versions is worked on by many tasks. Only the
+    columns that are asked for take part.
+    """
+    fields, block = [views.DELETED, *views.fields_of(log)], F.floor(F.col(views.SEQ) / BLOCK).alias("__block")
+    dealt = log.select("*", block)
+    ends = dealt.groupBy(*keys, "__block").agg(F.max(views.SEQ).alias("__end"), *[F.max_by(c, views.SEQ).alias(f"__last_{c}") for c in fields if c not in keys])
+    blocks, within = Window.partitionBy(*keys).orderBy("__block"), Window.partitionBy(*keys, "__block").orderBy(views.SEQ)
+    carried = ends.select(*keys, "__block", F.lag("__end").over(blocks).alias("__known"), *[F.lag(f"__last_{c}").over(blocks).alias(f"__carry_{c}") for c in fields if c not in keys])
+    first = F.col("__prior").isNull()
+    laid = dealt.withColumns({"__prior": F.lag(views.SEQ).over(within), **{f"__was_{c}": F.lag(c).over(within) for c in fields if c not in keys}})
+    known = laid.join(carried, [*keys, "__block"])
+    was = lambda c: F.when(first, F.col(f"__carry_{c}")).otherwise(F.col(f"__was_{c}"))
+    was_live = ~F.coalesce(was(views.DELETED), F.lit(True))
+    gone = F.col(views.DELETED)
+    kind = F.when(gone & was_live, "deleted").when(~gone & was_live, "updated").when(~gone, "inserted")
+    row = [F.col(c) if c in keys else F.when(gone, was(c)).otherwise(F.col(c)).alias(c) for c in views.fields_of(log)]
+    return known.withColumn("__kind", kind).filter("__kind is not null").select((F.col(views.SEQ) + 1).alias("offset"), F.lit(model).alias("model"), F.col("__kind").alias("kind"), *row)
 
 
 def raw_events(log: DataFrame) -> DataFrame:
@@ -66,16 +82,21 @@ def live_query(log: DataFrame, keys: list[str], query: Callable[[DataFrame], Dat
     return delta(seen(low), seen(high), keys)
 
 
-def watch(stream: DataFrame, read_log: Callable[[], DataFrame], keys: list[str], query: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None]):
+def watch(stream: DataFrame, read_log: Callable[[], DataFrame], keys: list[str], query: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], row_wise: bool = True):
     """A writer that on each micro-batch of the log's stream hands sink the result's delta since the batch before.
 
-    The watermark so far is the batch's own lower end, so a batch that is run again gives the same delta.
+    The watermark so far is the batch's own lower end, so a batch that is run again gives the same delta. A row_wise query
+    (filters and columns of one row) is run over the versions of the batch's ids alone; any other one, with
+    row_wise=False, over the whole log.
     """
 
     def on_batch(batch: DataFrame, number: int) -> None:
         ends = batch.agg(F.min(views.SEQ).alias("low"), F.max(views.SEQ).alias("high")).first()
         if ends.high is not None:
-            sink(live_query(read_log(), keys, query, ends.low, ends.high + 1), number)
+            log = read_log()
+            if row_wise:
+                log = log.join(batch.select(*keys).distinct(), keys, "left_semi")
+            sink(live_query(log, keys, query, ends.low, ends.high + 1), number)
 
     return stream.writeStream.foreachBatch(on_batch)
 

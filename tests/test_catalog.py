@@ -83,3 +83,48 @@ def test_diff():
     assert found == {("add_model", "B", "", ""), ("rename_field", "A", "a", "x"), ("make_nullable", "A", "b", ""), ("change_type", "A", "c", ""), ("add_unique", "A", "c", "")}
     grown = diff(read_schema("enum E { A }\nM { id: +uuid }"), read_schema("enum E { A, B }\nM { id: +uuid }"))
     assert [(c.kind, c.breaking) for c in grown] == [("change_enum", False)]
+
+
+def test_tokens():
+    c = read_schema("""// first line
+A { id: +uuid code: string, zip: string @pattern("^[0-9]{3}$") // with a brace
+  url: string @regex("^a//b,c$")
+  path: string @pattern("^\\\\d{1,14}\\"$")
+  card: tsx://pages/a/card @relations(posts)
+  height: f64 @min(-1.5) @default(2) }
+struct Size { w: f64 h: f64 }
+B {
+  id: u64
+  note: string? @default(")")
+  size: Size?
+  codes: [char(20); 5]
+  @index(id, note)
+  @soft_delete
+}""")
+    a = c.models["A"]
+    assert [f.name for f in a.fields] == ["id", "code", "zip", "url", "path", "height"]
+    assert a["zip"].constraints == (("pattern", ("^[0-9]{3}$",)),) and a["url"].constraints == (("regex", ("^a//b,c$",)),)
+    assert a["path"].constraints == (("pattern", ('^\\d{1,14}"$',)),)
+    assert a["height"].constraints == (("min", (-1.5,)), ("default", (2,)))
+    b = c.models["B"]
+    assert b.soft_delete and b.indexes == (("id", "note"),) and b["note"].constraints == (("default", (")",)),)
+    assert (b["codes"].kind, b["codes"].target, b["codes"].size) == ("array", "char(20)", 5) and [f.name for f in c.structs["Size"]] == ["w", "h"]
+
+
+@pytest.mark.parametrize(
+    "text, said",
+    [("A { id: u32\n @nonsense(3) }", "unknown directive"), ("A { id: u32", "not understood"), ('A { id: u32 @pattern("x }', "not understood"), ("A { id u32 }", "not understood"), ("A { }", "no fields"), ("enum E { }", "no variants"), ("", "empty"), ("A { id: u32 @min(3 }", "does not end")],
+)
+def test_refused_texts(text, said):
+    with pytest.raises(SchemaError, match=said):
+        read_schema(text)
+
+
+def test_migration_kinds():
+    old = read_schema("A { id: u32\n a: u32 @min(1)\n b: string\n @index(a, b) }\nGone { id: u32\n x: string }")
+    new = read_schema("A { id: u32\n a: u32 @max(5)\n b: string\n c: bool @default(true)\n d: bool\n @index(b, a) }\nCame { id: u32\n x: string }")
+    found = {(c.kind, c.model, c.name, c.to, c.breaking, c.authored) for c in diff(old, new)}
+    assert found == {
+        ("rename_model", "Gone", "", "Came", True, False), ("drop_constraint", "A", "a", "@min(1)", False, False), ("add_constraint", "A", "a", "@max(5)", False, False),
+        ("add_field", "A", "c", "", False, False), ("add_field", "A", "d", "", True, True), ("drop_composite_index", "A", "a, b", "", False, False), ("add_composite_index", "A", "b, a", "", False, False),
+    }

@@ -128,9 +128,70 @@ def test_statistics_and_compaction(post):
     assert [(r["_seq"], int(r.id)) for r in rows] == [(0, 3), (1, 4), (2, 1), (3, 18446744073709551615)]
 
 
-def test_point_read_is_pushed_down(spark, tmp_path, post):
-    post.log.write.parquet(str(tmp_path / "log"))
-    table = Table(CATALOG, "Post", spark.read.parquet(str(tmp_path / "log")))
-    plan = table.at(4).get(Decimal(1)).select("title")._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [" in plan and "EqualTo(id,1)" in plan and "LessThan(_seq,4)" in plan
-    assert "note" not in plan.split("ReadSchema")[1]
+@pytest.fixture(scope="module")
+def stored(spark, post, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("logs") / "log")
+    post.log.write.parquet(folder)
+    return Table(CATALOG, "Post", spark.read.parquet(folder))
+
+
+def scans(df):
+    """The columns that each scan of a query reads, and the nodes of its plan."""
+    plan = df._jdf.queryExecution().sparkPlan()
+    read, names, todo = [], [], [plan]
+    while todo:
+        node = todo.pop()
+        names.append(node.nodeName())
+        if node.nodeName().startswith("Scan parquet"):
+            read.append((set(node.requiredSchema().fieldNames()), node.dataFilters().mkString(" | ")))
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return read, names
+
+
+SYSTEM = {"id", "_seq", "_deleted"}
+
+
+@pytest.mark.parametrize(
+    "ask, columns",
+    [
+        (lambda t: t.live_rows(), SYSTEM), (lambda t: t.all().select("id"), SYSTEM), (lambda t: t.project("card"), SYSTEM | {"title", "views"}), (lambda t: t.scan(["views"]), SYSTEM | {"views"}),
+        (lambda t: t.scan(["views"], {"status": "Draft"}), SYSTEM | {"views", "status"}), (lambda t: t.total({"status": "Draft"}), SYSTEM | {"status"}), (lambda t: t.total({}), SYSTEM),
+        (lambda t: t.find_by(status="Draft").select("id"), SYSTEM | {"status"}), (lambda t: t.get(Decimal(1)).select("title"), SYSTEM | {"title"}), (lambda t: t.export_column("views"), SYSTEM | {"views"}),
+        (lambda t: t.range("views", 20, 40).select("id", "views"), SYSTEM | {"views"}), (lambda t: views.statistics(t.log, ["id"]), SYSTEM),
+    ],
+)
+def test_reads_are_narrow(stored, ask, columns):
+    """No scan reads more than id, _seq, _deleted and what was asked for; what aggregates does so by hashes."""
+    for table in (stored, stored.at(4)):
+        read, names = scans(ask(table))
+        assert read and set.union(*(c for c, _ in read)) <= columns
+        assert "SortAggregate" not in names and "HashAggregate" in names
+
+
+def test_point_read_is_pushed_down(stored):
+    read, _ = scans(stored.at(4).get(Decimal(1)).select("title"))
+    assert len(read) == 2 and all("id" in f and "_seq" in f and " 4" in f for _, f in read)
+    wide = [c for c, f in scans(stored.find_by(status="Draft"))[0] if "Draft" in f]
+    assert len(wide) == 1 and "note" in wide[0]
+
+
+def test_export_column(post):
+    assert [r.views for r in post.export_column("views").collect()] == [50, 20, 40, 40]
+    for name in ("note", "title", "status", "rating"):
+        with pytest.raises(SchemaError):
+            post.export_column(name)
+
+
+def test_page_knobs(post):
+    table = Table(CATALOG, "Post", post.log, default_limit=2, max_limit=3)
+    assert ids(table.list({"sort": "views"})) == [4, 1] and len(ids(table.list({"limit": "50"}))) == 3 and table.envelope({})["limit"] == 2
+
+
+def test_get_by_at_a_snapshot(post):
+    assert ids(post.at(4).get_by(title="b")) == [2] and ids(post.get_by(title="b")) == [] and [r.id for r in post.at(4).get_projected("card", Decimal(2)).collect()] == []
+
+
+def test_scans(post):
+    assert [tuple(r) for r in post.scan(["title"]).collect()] == [("c",), ("d",), ("a2",), ("e",)]
+    assert [tuple(r) for r in post.scan(["title"], {"views": "40"}).collect()] == [("a2",), ("e",)]
+    assert views.totals(views.counts({"a": post.log, "b": post.log})).first() == (2, 14)

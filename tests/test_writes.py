@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import relations, views, writes
+from quern.operators.access import Table
 from quern.plans.declare import read_schema
 from quern.plans.migrate import hop
 from quern.sources import segments
@@ -160,6 +161,166 @@ def test_store_backup_and_stream(spark, tmp_path):
     assert store.watermark("User") == 3 and store.log("User", users.schema).count() == 3
 
 
+def test_events_carry_the_row_before(spark, monkeypatch):
+    """Against a dict, in blocks of a few numbers: deleted events have what was, whatever the tombstone holds."""
+    monkeypatch.setattr(feed, "BLOCK", 7)
+    rng, state, log, want = random.Random(9), {}, [], []
+    for seq in range(300):
+        key = 1 if rng.random() < 0.4 else rng.randrange(12)
+        if rng.random() < 0.3:
+            log.append((seq, True, key, None))
+            if key in state:
+                want.append((seq + 1, "deleted", key, state.pop(key)))
+        else:
+            v = rng.choice([None, rng.randrange(50)])
+            log.append((seq, False, key, v))
+            want.append((seq + 1, "updated" if key in state else "inserted", key, v))
+            state[key] = v
+    df = spark.createDataFrame(log, LOG + "id long, v long").repartition(5)
+    out = feed.events(df, ["id"], "M")
+    assert sorted(map(tuple, out.select("offset", "kind", "id", "v").collect()), key=str) == sorted(want, key=str)
+    assert rows(feed.subscription(out, F.col("v") > 25).filter("kind = 'deleted'"), "offset") == [(o,) for o, k, _, v in want if k == "deleted" and v is not None and v > 25]
+
+
+def test_feed_store(spark, tmp_path):
+    raw = spark.createDataFrame([(i, "updated", i % 3) for i in range(1, 21)], "offset long, kind string, id long")
+    store = segments.FeedStore(spark, str(tmp_path / "f"), raw.schema)
+    assert store.watermark() == 0 and store.earliest() == 1 and store.read_from(0).count() == 0
+    assert store.append(raw.filter("offset <= 8")) == 8 and store.append(raw.filter("offset > 8")) == 20
+    with pytest.raises(ValueError):
+        store.append(raw.filter("offset > 12"))
+    replayed, boundary = store.catch_up_from(5)
+    assert boundary == 20 and rows(replayed, "offset") == [(i,) for i in range(6, 21)]
+    store.prune_through(10)
+    assert store.earliest() == 11 and store.watermark() == 20 and rows(store.read_from(10, 3), "offset") == [(11,), (12,), (13,)]
+    with pytest.raises(segments.Lagging):
+        store.catch_up_from(9)
+    more = spark.createDataFrame([(21, "deleted", 0)], raw.schema)
+    assert store.append(more) == 21 and rows(store.read_from(19), "offset") == [(20,), (21,)]
+    store.prune_through(99)
+    assert store.earliest() == 22 and store.read_from(21).count() == 0
+    assert sum(1 for _ in (tmp_path / "f/feed").iterdir()) == 1
+
+
+def begun(spark, tmp_path):
+    store = segments.Store(spark, str(tmp_path / "s"))
+    store.commit({m: log for m, log in logs(spark).items()})
+    return store
+
+
+def users(spark, *some):
+    return spark.createDataFrame(list(some), "id long, email string, age int, slug string")
+
+
+def test_first_committer_wins(spark, tmp_path):
+    store = begun(spark, tmp_path)
+    one, two, three = (writes.Transaction.begin(CATALOG, store) for _ in range(3))
+    one.update("User", users(spark, (1, "one@x.y", 50, None)))
+    two.update("User", users(spark, (1, "two@x.y", 60, None)))
+    three.update("User", users(spark, (2, "b@x.y", 70, None)))
+    three.insert("Post", spark.createDataFrame([(13, 2, None)], "id long, author long, editor long"))
+    assert one.commit() == 2
+    with pytest.raises(writes.Refused) as e:
+        two.commit()
+    assert e.value.args[0] == "conflict" and e.value.status == 409
+    assert three.commit() == 3
+    log = store.log("User", writes.log_schema(CATALOG, "User"))
+    assert rows(log, "_seq", "id", "age") == [(0, 1, 5), (1, 2, 6), (2, 3, 7), (3, 1, 50), (4, 2, 70)]
+    assert rows(views.live(store.log("Post", writes.log_schema(CATALOG, "Post")), ["id"]), "id") == [(10,), (11,), (12,), (13,)]
+
+
+def test_later_commit_is_checked_over_what_others_wrote(spark, tmp_path):
+    store = begun(spark, tmp_path)
+    one, two = (writes.Transaction.begin(CATALOG, store) for _ in range(2))
+    one.insert("User", users(spark, (8, "new@x.y", 1, None)))
+    two.insert("User", users(spark, (9, "new@x.y", 1, None)))
+    one.commit()
+    with pytest.raises(writes.Refused) as e:
+        two.commit()
+    assert e.value.args[0] == "unique"
+    assert store.watermark("User") == 4
+
+
+def test_retried_transaction_and_group_commit(spark, tmp_path):
+    store, tries = begun(spark, tmp_path), []
+
+    def attempt():
+        tx = writes.Transaction.begin(CATALOG, store)
+        tx.update("User", users(spark, (1, "a@x.y", 40 + len(tries), None)))
+        tries.append(1)
+        if len(tries) == 1:
+            other = writes.Transaction.begin(CATALOG, store)
+            other.update("User", users(spark, (1, "a@x.y", 99, None)))
+            other.commit()
+        return tx.commit()
+
+    assert writes.retrying(attempt) == 3 and len(tries) == 2
+    tx = writes.Transaction.begin(CATALOG, store)
+    tx.insert("User", spark.range(100, 600).select("id", F.concat(F.col("id").cast("string"), F.lit("@x.y")).alias("email"), F.lit(1).alias("age"), F.lit(None).cast("string").alias("slug")))
+    tx.commit()
+    assert Table(CATALOG, "User", store.log("User", writes.log_schema(CATALOG, "User"))).live_rows().first()[0] == 503
+    bad = writes.Transaction.begin(CATALOG, store)
+    bad.insert("User", users(spark, (700, "ok@x.y", 1, None), (701, "bad", 1, None)))
+    with pytest.raises(writes.Refused):
+        bad.commit()
+    assert store.head().number == 4
+
+
+def test_commit_between_read_and_compaction(spark, tmp_path):
+    """A commit that another writer makes while a log is compacted stays, and one that read the old epoch is refused."""
+    store, late, once = begun(spark, tmp_path), [], []
+    old = writes.Transaction.begin(CATALOG, store)
+    old.update("User", users(spark, (2, "b@x.y", 66, None)))
+
+    def meanwhile():
+        if not once:
+            once.append(1)
+            tx = writes.Transaction.begin(CATALOG, store)
+            tx.update("User", users(spark, (3, "c@x.y", 77, None)))
+            late.append(tx.commit())
+
+    schema = writes.log_schema(CATALOG, "User")
+    store.compact("User", schema, ["id"], meanwhile)
+    assert rows(store.log("User", schema), "_seq", "id", "age") == [(0, 1, 5), (1, 2, 6), (2, 3, 77)]
+    with pytest.raises(writes.Refused) as e:
+        old.commit()
+    assert e.value.args[0] == "conflict"
+    head = store.head()
+    store.commit({"User": spark.createDataFrame([(3, False, 4, "d@x.y", 1, None)], USER)}, head)
+    with pytest.raises(segments.Overtaken):
+        store.commit({"User": spark.createDataFrame([(3, False, 5, "e@x.y", 1, None)], USER)}, head)
+    assert store.watermark("User") == 4 and store.log("User", schema).filter("id = 5").count() == 0
+
+
+def test_segment_without_entry_is_not_seen(spark, tmp_path, monkeypatch):
+    """A writer that dies between its segments and the manifest entry."""
+    store = begun(spark, tmp_path)
+    tx = writes.Transaction.begin(CATALOG, store)
+    tx.update("User", users(spark, (1, "a@x.y", 9, None)))
+
+    def die(*_):
+        raise OSError("gone")
+
+    monkeypatch.setattr(segments.Store, "_enter", die)
+    with pytest.raises(OSError):
+        tx.commit()
+    monkeypatch.undo()
+    assert store.head().number == 1 and store.watermark("User") == 3
+    again = writes.Transaction.begin(CATALOG, store)
+    again.update("User", users(spark, (1, "a@x.y", 10, None)))
+    assert again.commit() == 2
+
+
+def test_unlink_all_and_snapshot_traversal(spark):
+    j = spark.createDataFrame([(0, False, 1, 5), (1, False, 1, 6), (2, True, 1, 5), (3, False, 2, 5), (4, False, 1, 5)], LOG + "l long, r long")
+    gone = writes.unlink_all(j, spark.createDataFrame([(1,), (7,)], "l long"), "l", "l", "r")
+    assert rows(gone, "_seq", "_deleted", "l", "r") == [(5, True, 1, 5), (6, True, 1, 6)]
+    lefts = spark.createDataFrame([(1,), (2,)], "id long")
+    rights = spark.createDataFrame([(0, False, 5, "five"), (1, False, 6, "six"), (2, False, 5, "fünf")], LOG + "id long, name string")
+    at = lambda a, b: rows(relations.across_at(j, "l", "r", lefts, "id", rights, "id", a, b), "from_id", "id", "name")
+    assert at(4, 2) == [(1, 6, "six"), (2, 5, "five")] and at(5, 3) == [(1, 5, "fünf"), (1, 6, "six"), (2, 5, "fünf")] and at(2, 1) == [(1, 5, "five")]
+
+
 def test_follow_honours_deletes_and_reads_from(spark):
     log = spark.createDataFrame([(0, False, 1, 5)], LOG + "id long, v long")
     events = spark.createDataFrame([(1, "inserted", 1, 5), (2, "inserted", 2, 6), (3, "deleted", 1, 5)], "offset long, kind string, id long, v long")
