@@ -572,6 +572,14 @@ def store_compacted(spark, sf_dir):
     return store.log("Event", log.schema)
 
 
+def store_maintained(spark, sf_dir):
+    """A store that compacts the log as soon as a row of it is dead."""
+    log, store = event_log(spark, sf_dir), segments.Store(spark, scratch(spark))
+    store.commit({"Event": log})
+    store.maintain("Event", log.schema, ["id"], soft=1)
+    return store.log("Event", log.schema)
+
+
 MOVED = SCHEMA.replace("c_name: &string @length(1, 25)", "label: &string @length(1, 25)").replace("card: c_name", "card: label")
 
 
@@ -625,7 +633,7 @@ QUERIES = {f.__name__: f for f in (
     export_column, order_customer, optional_forward, customer_orders, order_with_relations, part_suppliers, part_suppliers_at, junction_pairs, junction_pairs_at, dangling_orders, restrict_children,
     cascade_delete, set_null_children, constraint_violations, unique_violations, key_violations, write_conflicts, insert_versions, update_versions, delete_versions, link_versions, unlink_versions,
     unlink_all_versions, live_latest, as_of_scan, get_at, find_at, read_physical, metrics_counts, metrics_totals, live_count, storage_stats, compacted, change_feed, subscription_filter,
-    live_query_delta, live_query_init, pitr_replay, replication_page, replication_tail, retention, feed_caught_up, follower_state, backup_restored, committed_log, store_compacted,
+    live_query_delta, live_query_init, pitr_replay, replication_page, replication_tail, retention, feed_caught_up, follower_state, backup_restored, committed_log, store_compacted, store_maintained,
     migrated_log, schema_changes, transaction_cascade, transaction_committed,
 )}
 
@@ -729,6 +737,7 @@ ORACLE_SQL = {
     "backup_restored": f"WITH {_LOG}, {_view('v')} SELECT _seq, id, event_type, value FROM v",
     "committed_log": f"WITH {_LOG}, {_view('v')} SELECT _seq, id, event_type, value FROM v",
     "store_compacted": f"WITH {_LOG}, {_view('v')} SELECT row_number() OVER (ORDER BY _seq) - 1 AS _seq, false AS _deleted, id, event_type, value FROM v",
+    "store_maintained": f"WITH {_LOG}, {_view('v')} SELECT row_number() OVER (ORDER BY _seq) - 1 AS _seq, false AS _deleted, id, event_type, value FROM v",
     "migrated_log": "SELECT c_custkey AS id, c_name AS label, c_mktsegment FROM customer",
     "schema_changes": "SELECT * FROM (VALUES ('change_projection', 'Customer', '', '', false), ('rename_field', 'Customer', 'c_name', 'label', true)) AS t(kind, model, name, renamed, breaking)",
     "transaction_cascade": f"WITH {_ORDERS} SELECT o_orderkey AS id, o_custkey AS customer FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",

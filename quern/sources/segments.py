@@ -152,6 +152,17 @@ class Store:
                 continue
 
 
+    def maintain(self, model: str, schema, keys: list[str], soft: int | None = None, busy: bool = False) -> str:
+        """Compacts a log by its dead rows: now, deferred (which waits while the store is busy) or none."""
+        from ..operators import views
+
+        stats = views.statistics(self.log(model, schema), keys).first()
+        due = views.compaction_due(stats.dead_rows, soft or views.SOFT_DEAD)
+        if due == "now" or (due == "deferred" and not busy):
+            self.compact(model, schema, keys)
+        return due
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

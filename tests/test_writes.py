@@ -292,6 +292,17 @@ def test_commit_between_read_and_compaction(spark, tmp_path):
     assert store.watermark("User") == 4 and store.log("User", schema).filter("id = 5").count() == 0
 
 
+def test_maintenance_by_dead_rows(spark, tmp_path):
+    store, schema = begun(spark, tmp_path), writes.log_schema(CATALOG, "User")
+    assert store.maintain("User", schema, ["id"], soft=1) == "none"
+    tx = writes.Transaction.begin(CATALOG, store)
+    tx.update("User", users(spark, (1, "a@x.y", 9, None), (2, "b@x.y", 9, None)))
+    tx.commit()
+    assert store.maintain("User", schema, ["id"], soft=2, busy=True) == "deferred" and store.watermark("User") == 5
+    assert store.maintain("User", schema, ["id"], soft=2) == "deferred" and store.watermark("User") == 3
+    assert rows(store.log("User", schema), "_seq", "id", "age") == [(0, 3, 7), (1, 1, 9), (2, 2, 9)]
+
+
 def test_segment_without_entry_is_not_seen(spark, tmp_path, monkeypatch):
     """A writer that dies between its segments and the manifest entry."""
     store = begun(spark, tmp_path)
