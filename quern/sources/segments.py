@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Every so many commits an entry repeats the rows of all others that still count.
+FOLD = 100
 MANIFEST = "commit long, epoch long, model string, path string, low long, high long"
 
 
@@ -54,17 +56,24 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def manifest(self) -> DataFrame:
-        folder = f"{self.folder}/_manifest"
-        if not _exists(self.spark, folder):
-            return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).json(folder)
+    def _entries(self) -> dict[int, str]:
+        """Commit number -> file, from a listing of names alone."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/_manifest")
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [x.getPath() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return {int(x.getName().removesuffix(".json")): x.toString() for x in found if x.getName().endswith(".json")}
 
     def head(self) -> Head:
-        """As of now. What comes to the driver is a row for each commit and model since the model's last compaction."""
-        rows = self.manifest()
-        number = rows.agg(F.coalesce(F.max("commit"), F.lit(0))).first()[0]
-        rows = rows.filter(F.col("commit") <= number)
+        """As of now. Read are the entries since the last one that repeats all others' current rows, less than FOLD + 1.
+
+        What comes to the driver is a row for each commit and model since the model's last compaction.
+        """
+        entries = self._entries()
+        number = max(entries, default=0)
+        paths = [entries[n] for n in sorted(entries) if number - number % FOLD <= n <= number]
+        if not paths:
+            return Head(self.spark, 0, ())
+        rows = self.spark.read.schema(MANIFEST).json(paths)
         now = rows.groupBy("model").agg(F.max("epoch").alias("epoch"))
         return Head(self.spark, number, tuple(rows.join(now, ["model", "epoch"]).orderBy("commit").collect()))
 
@@ -102,11 +111,16 @@ class Store:
             if ends.low not in (None, start):
                 raise ValueError(f"versions of {model} begin at {ends.low}, its log ends before {start}")
             rows[-1] |= {"low": start, "high": start if ends.high is None else ends.high + 1}
-        self._enter(head.number + 1, "".join(json.dumps(r) + "\n" for r in rows))
+        self._enter(head, rows)
         return head.number + 1
 
-    def _enter(self, number: int, text: str) -> None:
-        """The entry's file, written aside and then moved to its name if that is free."""
+    def _enter(self, head: Head, rows: list[dict]) -> None:
+        """The next entry's file, written aside and then moved to its name if that is free."""
+        number = head.number + 1
+        if number % FOLD == 0:
+            moved = {r["model"]: r["epoch"] for r in rows}
+            rows = [r.asDict() for r in head.rows if moved.get(r.model, r.epoch) == r.epoch] + rows
+        text = "".join(json.dumps(r) + "\n" for r in rows)
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         aside, place = (jvm.org.apache.hadoop.fs.Path(x) for x in (f"{self.folder}/_aside/{uuid.uuid4().hex}", f"{self.folder}/_manifest/{number:020d}.json"))
         fs = place.getFileSystem(conf)
@@ -131,7 +145,7 @@ class Store:
         path = f"{self.folder}/{model}/{uuid.uuid4().hex}"
         rows.write.parquet(path)
         entry = {"commit": head.number + 1, "epoch": head.epoch(model) + 1, "model": model, "path": path, "low": start, "high": head.watermark(model)}
-        self._enter(head.number + 1, json.dumps(entry) + "\n")
+        self._enter(head, [entry])
         return head.number + 1
 
     def compact(self, model: str, schema, keys: list[str], between: Callable[[], None] = lambda: None) -> int:
@@ -163,11 +177,6 @@ class Store:
         return due
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

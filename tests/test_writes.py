@@ -303,6 +303,19 @@ def test_maintenance_by_dead_rows(spark, tmp_path):
     assert rows(store.log("User", schema), "_seq", "id", "age") == [(0, 3, 7), (1, 1, 9), (2, 2, 9)]
 
 
+def test_folded_manifest(spark, tmp_path, monkeypatch):
+    """Every third entry repeats the others: the same logs from two files as from seven."""
+    monkeypatch.setattr(segments, "FOLD", 3)
+    store = begun(spark, tmp_path)
+    for k in range(4):
+        store.commit({"User": spark.createDataFrame([(3 + k, False, 10 + k, f"{k}@x.y", 1, None)], USER)})
+    store.compact("User", writes.log_schema(CATALOG, "User"), ["id"])
+    store.commit({"User": spark.createDataFrame([(7, False, 99, "z@x.y", 1, None)], USER)})
+    assert store.head().number == 7 and {r.commit for r in store.head().rows} == {1, 6, 7}
+    assert rows(store.log("User", writes.log_schema(CATALOG, "User")), "id") == [(1,), (2,), (3,), (10,), (11,), (12,), (13,), (99,)]
+    assert store.log("Post", writes.log_schema(CATALOG, "Post")).count() == 3
+
+
 def test_segment_without_entry_is_not_seen(spark, tmp_path, monkeypatch):
     """A writer that dies between its segments and the manifest entry."""
     store = begun(spark, tmp_path)
