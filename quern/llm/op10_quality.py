@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, lookup
 
-RISK, ERROR = 0.05, 0.05
+RISK, ERROR = 0.03, 0.05
 SYMBOLS = "#*$%&|<>"
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
