@@ -24,6 +24,6 @@ def test_longer_log(spark, longer, name):
     want = c.sql(queries.ORACLE_SQL[name])
     rows = sorted(map(str, want.fetchall()))
     assert sorted(str(tuple(r)) for r in queries.QUERIES[name](spark, folder).select(*want.columns).collect()) == rows
-    if name != "write_conflicts":  # each copy has users of its own
+    if name != "write_conflicts":  # each copy has users of its own; a replay to three quarters sees six copies
         at = want.columns.index("id")
-        assert max(r[at] for r in want.fetchall()) >= 700
+        assert max(r[at] for r in want.fetchall()) >= (500 if name == "pitr_replay" else 700)
