@@ -152,22 +152,21 @@ def _bytes(cell) -> np.ndarray:
 
 
 def anchor_counts(docs: DataFrame, length: int) -> DataFrame:
-    """(K1, K2, h, n): the anchor hashes of each document of (K1, K2, text as binary), and their places."""
+    """(K1, h, n): the anchor hashes of each document of (K1, text as binary), and their places."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length)
         for batch in batches:
-            k1, k2, hashes, counts = [], [], [], []
-            for a, b, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            keys, hashes, counts = [], [], []
+            for key, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 value, n = anchors.places(_bytes(cell))
-                k1.append(np.full(len(value), a, np.int64))
-                k2.append(np.full(len(value), b, np.int64))
+                keys.append(np.full(len(value), key, np.int64))
                 hashes.append(value.view(np.int64))
                 counts.append(n)
             join = lambda x: np.concatenate([*x, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(join(x)) for x in (k1, k2, hashes, counts)], [K1, K2, "h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(join(x)) for x in (keys, hashes, counts)], [K1, "h", "n"])
 
-    return docs.mapInArrow(task, f"{K1} long, {K2} long, h long, n long")
+    return docs.mapInArrow(task, f"{K1} long, h long, n long")
 
 
 ROWS = f"kind string, {K1} long, {K2} long, doc_id long, at long, windows long, h long, c1 long, c2 long, n_bytes long, sha256 string, body binary"
@@ -285,11 +284,12 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFr
     spark = docs.sparkSession
     raw = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
     raw = raw.withColumns(row_keys(raw))
-    counts = cut(anchor_counts(raw.select(K1, K2, "text"), length))
+    # half of the key will do here: documents that share it by chance get each other's repeated anchors, which spares none
+    counts = cut(anchor_counts(raw.select(K1, "text"), length))
     dup = counts.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("w")).filter("n > 1")
-    shared = lookup(counts.select(K1, K2, "h"), dup, ["h"], ["w"], "w", counts.count()).filter("w is not null")
-    hs = shared.groupBy(K1, K2).agg(F.collect_set("h").alias("hs"))
-    rows = cut(contexts(raw.join(hs.hint("merge"), [K1, K2], "left").select(K1, K2, "doc_id", "text", "hs"), length))
+    shared = lookup(counts.select(K1, "h"), dup, ["h"], ["w"], "w", counts.count()).filter("w is not null")
+    hs = shared.groupBy(K1).agg(F.collect_set("h").alias("hs"))
+    rows = cut(contexts(raw.join(hs.hint("merge"), K1, "left").select(K1, K2, "doc_id", "text", "hs"), length))
 
     members = rows.filter("kind = 'run'").select(K1, K2, "at", "c1", "c2").distinct()
     n_members = members.count()
