@@ -31,8 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE = 600_000
-BATCH_CHARS = 4_000_000
+CACHE = 400_000
+#: Latin letters and all common signs of western texts lie below this code point.
+NEAR = 0x250
+BATCH_CHARS = 1_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -79,6 +81,14 @@ def _char_class(codes: Iterable[int]) -> re.Pattern:
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]") if spans else re.compile(r"(?!)")
 
 
+def _near_pattern(pattern: str) -> re.Pattern:
+    """The file's pattern for texts below NEAR alone, with its classes written out: Python's own engine is twice as fast."""
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        of_class = regex.compile(name)
+        pattern = pattern.replace(name, "".join(re.escape(chr(c)) for c in range(NEAR) if of_class.match(chr(c))))
+    return re.compile(pattern)
+
+
 class WordBpe:
     """A tokenizer file of this kind: BPE with an end-of-word suffix over the byte-level alphabet, no decoder."""
 
@@ -109,6 +119,7 @@ class WordBpe:
         self.keeps: dict[tuple[str, str], bool] = {}
         self.reset_words()
         self.pattern = regex.compile(next(x["pattern"]["Regex"] for x in config["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
+        self.near, self.beyond = _near_pattern(self.pattern.pattern), re.compile(f"[{chr(NEAR)}-{chr(sys.maxunicode)}]")
         gaps = config["gaps"]
         self.lower, self.shape, self.odd = gaps["lower"], gaps["shape"], _char_class({*gaps["lower"], *gaps["shape"]})
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -196,12 +207,15 @@ class WordBpe:
     def pretokens(self, text: str) -> list[str]:
         """The words of a text without special tokens. Capital sigma is lowered apart: str.lower looks at its neighbours."""
         if text.isascii():
-            return self.pattern.findall(text.lower())
+            return self.near.findall(text.lower())
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         text = text.replace("\u03a3", "\u03c3")
+        low = text.lower()
+        if not self.beyond.search(low):
+            return self.near.findall(low)
         if not self.odd.search(text):
-            return self.pattern.findall(text.lower())
+            return self.pattern.findall(low)
         # words are found in a text of the same length with a stand-in for each code point that is classed otherwise
         low = text.translate(self.lower).lower()
         return [low[m.start() : m.end()] for m in self.pattern.finditer(low.translate(self.shape))]
@@ -276,11 +290,11 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
 
 def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """encoded with the decoded text instead of the ids; null ids decode to an empty text."""
-    config, kept = encoded.sparkSession.sparkContext.broadcast(load(tokenizer)), [c for c in encoded.columns if c not in (ids, text)]
+    known_tokens, kept = encoded.sparkSession.sparkContext.broadcast(token_table(load(tokenizer))), [c for c in encoded.columns if c not in (ids, text)]
     source = encoded.select(*kept, ids)
 
     def task(batches):
-        table = token_table(config.value)
+        table = known_tokens.value
         names = pa.array([table.get(i) for i in range(max(table) + 1)], pa.string())
         for batch in batches:
             column = batch.column(len(kept))
