@@ -319,7 +319,7 @@ def order_customer(spark, sf_dir):
     return out.select("id", "customer", F.col("parent.c_name").alias("c_name"))
 
 
-def optional_forward(spark, sf_dir):
+def forward_optional(spark, sf_dir):
     """Customers without a nation where their balance is negative."""
     c = _customers(spark, sf_dir).withColumn("nation", F.when(F.col("c_acctbal") >= 0, F.col("nation")))
     return relations.forward(c, "nation", _nations(spark, sf_dir), "id", "home").select("id", "nation", F.col("home.n_name").alias("n_name"))
@@ -630,7 +630,7 @@ def transaction_committed(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     scan_aggregate, scan_narrow, range_top10, range_between, range_empty, find_by_status, find_by_status_and_priority, find_by_customer, find_by_null, get_by_id, get_by_unique,
     filter_bad_value, filter_loose, filter_typed, find_typed, range_typed, list_page, list_total, list_clamped, list_knobs, enum_sort, list_nulls, projection_card, projection_page, projected_point,
-    export_column, order_customer, optional_forward, customer_orders, order_with_relations, part_suppliers, part_suppliers_at, junction_pairs, junction_pairs_at, dangling_orders, restrict_children,
+    export_column, order_customer, forward_optional, customer_orders, order_with_relations, part_suppliers, part_suppliers_at, junction_pairs, junction_pairs_at, dangling_orders, restrict_children,
     cascade_delete, set_null_children, constraint_violations, unique_violations, key_violations, write_conflicts, insert_versions, update_versions, delete_versions, link_versions, unlink_versions,
     unlink_all_versions, live_latest, as_of_scan, get_at, find_at, read_physical, metrics_counts, metrics_totals, live_count, storage_stats, compacted, change_feed, subscription_filter,
     live_query_delta, live_query_init, pitr_replay, replication_page, replication_tail, retention, feed_caught_up, follower_state, backup_restored, committed_log, store_compacted, store_maintained,
@@ -693,7 +693,7 @@ ORACLE_SQL = {
     "projected_point": f"WITH {_ORDERS} SELECT o_orderkey AS id, o_orderstatus, o_totalprice FROM o WHERE o_orderkey = 42",
     "export_column": f"WITH {_ORDERS} SELECT {_SECONDS} AS o_orderdate FROM o",
     "order_customer": f"WITH {_ORDERS} SELECT o_orderkey AS id, o_custkey AS customer, c_name FROM o LEFT JOIN customer ON o_custkey = c_custkey",
-    "optional_forward": "SELECT c_custkey AS id, CASE WHEN c_acctbal >= 0 THEN c_nationkey END AS nation, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND c_acctbal >= 0",
+    "forward_optional": "SELECT c_custkey AS id, CASE WHEN c_acctbal >= 0 THEN c_nationkey END AS nation, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND c_acctbal >= 0",
     "customer_orders": f"WITH {_ORDERS} SELECT o_orderkey AS id, o_custkey AS customer FROM o WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
     "order_with_relations": f"WITH {_ORDERS} SELECT o_orderkey AS id, c_name, n_name FROM o LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey",
     "part_suppliers": f"WITH {_JUNCTION}, {_PAIRS.format('true')} SELECT part AS from_id, s_suppkey, s_name FROM p JOIN part ON part = p_partkey JOIN supplier ON supplier = s_suppkey WHERE NOT gone",
